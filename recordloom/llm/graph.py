@@ -34,26 +34,36 @@ def with_components(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def linked(buckets: DataFrame, nodes: DataFrame, confirm) -> DataFrame:
+def linked(buckets: DataFrame, nodes: DataFrame, confirm, refine, lead: tuple[str, ...] = ("node",)) -> DataFrame:
     """Components (node, component) of the confirmed pairs among nodes that share a bucket.
 
-    buckets: key, node; nodes: node, size (of its set). confirm takes pairs (a, b) and returns those that
-    are links. First every node meets only the smallest node of each of its buckets, so a bucket of any size
-    gives as many pairs as it has members. Then only nodes of different components that still share a
-    bucket meet, which finds the links that the first pass cannot see; copies and near copies have merged
-    by then, so a large group is not paired with itself.
+    buckets: key, node, and the columns `lead`; nodes: node, size (of its set). confirm takes pairs (a, b) and returns those that
+    are links. First every node meets only the first by `lead` of each of its buckets, so a bucket of any size
+    gives as many pairs as it has members. Nodes that then share a bucket with another component go to
+    refine(node), which gives finer buckets (key, node) in which every link between them still meets; only
+    nodes of different components are paired there. Copies and near copies have merged by then, so a large
+    group is not paired with itself.
     """
-    heads = saved(buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"))
-    pairs = buckets.join(heads, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = saved(confirm(saved(pairs)))
+    heads = buckets.groupBy("key").agg(F.min(F.struct(*lead)).alias("head"), F.count("*").alias("n"))
+    heads = saved(heads.where("n > 1").select("key", F.col("head.node").alias("a")))
+    pairs = saved(buckets.join(heads, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    links = saved(confirm(pairs))
     found = saved(components(links))
-    shared = saved(with_components(buckets.join(heads.select("key"), "key"), found))
-    mixed = saved(shared.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
-    rest = saved(shared.join(mixed, "key").join(nodes, "node").select("key", "node", "component", "size"))
-    if rest.isEmpty():
+    shared = saved(with_components(buckets.select("key", "node").join(heads.select("key"), "key"), found))
+    open_ = saved(_mixed(shared).select("node").distinct())
+    if open_.isEmpty():
         return found
+    finer = saved(with_components(refine(open_), found))
+    rest = saved(_mixed(finer).join(nodes, "node").select("key", "node", "component", "size"))
     x, y = rest.alias("x"), rest.alias("y")
     near = "x.component < y.component and 4 * least(x.size, y.size) >= 3 * greatest(x.size, y.size)"
     more = x.join(y, "key").where(near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = saved(confirm(saved(more.join(pairs, ["a", "b"], "left_anti"))))
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = saved(confirm(saved(more.join(done, ["a", "b"], "left_anti"))))
     return found if more.isEmpty() else saved(components(links.union(more)))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members (key, node, component) of the buckets that hold more than one component."""
+    keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return members.join(saved(keys.select("key")), "key")

@@ -110,6 +110,34 @@ def _sets(df: DataFrame, text: str, row_id: str, wanted: DataFrame) -> DataFrame
     return rows.mapInArrow(run, "node long, set array<long>")
 
 
+def rare_first(sets: DataFrame, percent: int) -> DataFrame:
+    """Exact buckets (key, node): two sets of the least similarity share one of their rarest elements.
+
+    By any one order of all elements, the first n - ceil(percent/100 * n) + 1 elements of both sets overlap.
+    The order is by how often an element's counter was hit, so what many sets share comes last. The counters
+    are 65,536 whatever the input, and go to the tasks as one array.
+    """
+    counters = 1 << 16
+    hits = sets.select(F.explode("set").alias("e")).groupBy(F.pmod("e", F.lit(counters)).cast("int").alias("c")).count().collect()
+    weight = np.zeros(counters, np.int64)
+    for c, n in hits:
+        weight[c] = n
+    table = sets.sparkSession.sparkContext.broadcast(weight)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, many = [np.zeros(0, np.int64)], []
+            for own in batch.column("set"):
+                e = own.values.to_numpy()
+                n = len(e) + 1 + -len(e) * percent // 100
+                keys.append(e[np.lexsort((e, table.value[e % counters]))[:n]])
+                many.append(len(keys[-1]))
+            nodes = np.repeat(batch.column("node").to_numpy(), np.array(many, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(nodes)], names=["key", "node"])
+
+    return sets.mapInArrow(run, "key long, node long")
+
+
 def near_duplicates(df: DataFrame, text: str, row_id: str, percent: int = 75) -> DataFrame:
     """row_id, n_shingles, component_id (the smallest id reachable) and kept (it is the smallest) of every row.
 
@@ -123,7 +151,7 @@ def near_duplicates(df: DataFrame, text: str, row_id: str, percent: int = 75) ->
     filled = rows.where("size > 0 and node is not null")
     first = saved(filled.groupBy("h1", "h2", "size").agg(F.min("node").alias("leader"), F.count("*").alias("n"), F.first("bands").alias("bands")))
     nodes = first.select(F.col("leader").alias("node"), "size")
-    buckets = first.select(F.explode("bands").alias("key"), F.col("leader").alias("node"))
+    buckets = first.select(F.explode("bands").alias("key"), "size", F.col("leader").alias("node"))
     sizes = nodes.select(F.col("node").alias("n"), F.col("size").alias("s"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -136,7 +164,7 @@ def near_duplicates(df: DataFrame, text: str, row_id: str, percent: int = 75) ->
         both = F.size(F.array_intersect("x", "y"))
         return likely.join(one, "a").join(two, "b").where((100 + percent) * both >= percent * (F.col("sa") + F.col("sb"))).select("a", "b")
 
-    found = linked(buckets, nodes, confirm)
+    found = linked(buckets, nodes, confirm, lambda wanted: rare_first(saved(_sets(df, text, row_id, wanted)), percent), ("size", "node"))
     copies = first.where("n > 1").select("h1", "h2", "size", "leader")
     led = rows.join(saved(copies), ["h1", "h2", "size"], "left")
     led = led.select(F.col("node").alias("id"), "size", F.when(F.col("size") > 0, F.coalesce("leader", "node")).otherwise(F.col("node")).alias("node"))
