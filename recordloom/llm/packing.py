@@ -160,7 +160,7 @@ def _memo(path: str) -> Memo:
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(path)
-    return Memo(lambda new: [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch_fast(new, add_special_tokens=False)], 250_000)
+    return Memo(lambda new: [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch_fast(new, add_special_tokens=False)], 1_000_000)
 
 
 def cut(df: DataFrame, text: str, row_id: str, path: str, size: int) -> DataFrame:
@@ -194,7 +194,7 @@ def packed(df: DataFrame, text: str, row_id: str, path: str, size: int = 2048) -
     of `size`, so that the first may be shorter. Repeated rows and null ids are packed like others; an empty
     table gives no rows; other columns of df are not looked at.
     """
-    return placed(cut(df, text, row_id, path, size), "length", [row_id, "piece", "ids_crc32"], size)
+    return placed(saved(cut(df, text, row_id, path, size)), "length", [row_id, "piece", "ids_crc32"], size)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
