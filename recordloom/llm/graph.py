@@ -34,32 +34,39 @@ def with_components(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def linked(buckets: DataFrame, nodes: DataFrame, confirm, refine, lead: tuple[str, ...] = ("node",)) -> DataFrame:
+def linked(buckets: DataFrame, nodes: DataFrame, confirm, refine=None, near: str = "4 * least(x.size, y.size) >= 3 * greatest(x.size, y.size)", narrow=None) -> DataFrame:
     """Components (node, component) of the confirmed pairs among nodes that share a bucket.
 
-    buckets: key, node, and the columns `lead`; nodes: node, size (of its set). confirm takes pairs (a, b) and returns those that
-    are links. First every node meets only the first by `lead` of each of its buckets, so a bucket of any size
-    gives as many pairs as it has members. Nodes that then share a bucket with another component go to
-    refine(node), which gives finer buckets (key, node) in which every link between them still meets; only
-    nodes of different components are paired there. Copies and near copies have merged by then, so a large
-    group is not paired with itself.
+    buckets: key, node; nodes: node, size (of its set) and whatever `near` looks at, a condition on nodes x
+    and y that every link fulfils. confirm takes pairs (a, b) and returns those that are links. First every
+    node meets only two of each of its buckets, picked by a hash of the bucket and the node, so a bucket of any
+    size gives twice as many pairs as it has members, and a large group has many leaders. Only nodes of different components that still share a bucket, or
+    one of the finer buckets (key, node) that refine(node) gives for them, are paired after that. Copies and
+    near copies have merged by then, so a large group is not paired with itself. narrow may add a column to
+    these nodes, leave out those that can have no link, and give a condition to go with `near`.
     """
-    heads = buckets.groupBy("key").agg(F.min(F.struct(*lead)).alias("head"), F.count("*").alias("n"))
-    heads = saved(heads.where("n > 1").select("key", F.col("head.node").alias("a")))
-    pairs = saved(buckets.join(heads, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct())
-    links = saved(confirm(pairs))
+    picked = F.struct(F.xxhash64("key", "node").alias("h"), "node")
+    heads = buckets.groupBy("key").agg(F.min(picked).alias("low"), F.max(picked).alias("high"), F.count("*").alias("n"))
+    heads = saved(heads.where("n > 1").select("key", F.array("low.node", "high.node").alias("leaders")))
+    shared = saved(buckets.select("key", "node").join(heads, "key"))
+    each = shared.select(F.explode("leaders").alias("a"), "node").where("node <> a")
+    pairs = saved(each.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+    whole = [F.struct(*nodes.columns).alias(c) for c in ("x", "y")]
+    met = pairs.join(nodes.select(F.col("node").alias("a"), whole[0]), "a").join(nodes.select(F.col("node").alias("b"), whole[1]), "b")
+    links = saved(confirm(saved(met.where(near).select("a", "b"))))
     found = saved(components(links))
-    shared = saved(with_components(buckets.select("key", "node").join(heads.select("key"), "key"), found))
-    open_ = saved(_mixed(shared).select("node").distinct())
-    if open_.isEmpty():
-        return found
-    finer = saved(with_components(refine(open_), found))
-    rest = saved(_mixed(finer).join(nodes, "node").select("key", "node", "component", "size"))
+    rest = _mixed(saved(with_components(shared.select("key", "node"), found)))
+    if refine:
+        open_ = saved(rest.select("node").distinct())
+        if open_.isEmpty():
+            return found
+        rest = _mixed(saved(with_components(refine(open_), found)))
+    rest, also = saved(rest.join(nodes, "node")), "true"
+    if narrow:
+        rest, also = narrow(rest)
     x, y = rest.alias("x"), rest.alias("y")
-    near = "x.component < y.component and 4 * least(x.size, y.size) >= 3 * greatest(x.size, y.size)"
-    more = x.join(y, "key").where(near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = saved(confirm(saved(more.join(done, ["a", "b"], "left_anti"))))
+    more = x.join(y, "key").where(f"x.component < y.component and {near} and {also}").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    more = saved(confirm(saved(more.join(pairs, ["a", "b"], "left_anti"))))
     return found if more.isEmpty() else saved(components(links.union(more)))
 
 

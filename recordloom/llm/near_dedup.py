@@ -1,5 +1,6 @@
 """Near-duplicate documents: fast similarity sketches, banding, and exact verification on full shingle sets."""
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,10 @@ from ._words import LOWER, NOT_SPACE, Rolling, doc_of, joined, mix, pieces, span
 from ._words import U as U64
 from .graph import linked, with_components
 
-#: 24 bands of 3 coordinates: documents at the least similarity of 0.75 share none with odds of two in a million.
-BANDS, ROWS = 24, 3
+#: 36 bands of 4 coordinates: documents at the least similarity of 0.75 share none with odds of one in a million.
+BANDS, ROWS = 36, 4
+#: Two bits of every coordinate, 32 coordinates a long: what tells most unlike pairs apart before full sets are read.
+BITS = [f"s{i}" for i in range(-(-BANDS * ROWS // 32))]
 WORDS = 5
 _ODD = U64(0x9E3779B97F4A7C15)
 
@@ -75,8 +78,27 @@ def sketches(sets: np.ndarray, begins: np.ndarray, size: int = BANDS * ROWS) ->
     return flat.reshape(n, size)
 
 
+def packed_bits(sketch: np.ndarray) -> list[np.ndarray]:
+    """The two lowest bits of each coordinate, 32 coordinates a long."""
+    low = sketch & U64(3)
+    shift = np.arange(32, dtype=U64) * U64(2)
+    return [np.bitwise_or.reduce(low[:, i : i + 32] << shift[: low[:, i : i + 32].shape[1]], axis=1).view(np.int64) for i in range(0, low.shape[1], 32)]
+
+
+def likely(percent: int, x: str, y: str) -> str:
+    """SQL condition that two nodes with size and BITS may be linked: it holds for every link but with odds under one in a billion.
+
+    Coordinates of linked sets differ with odds of 1 - percent/100 at most, three in four of them in their two
+    bits; six and a half standard deviations more are let pass.
+    """
+    n, odds = BANDS * ROWS, 0.75 * (1 - percent / 100)
+    most = math.ceil(n * odds + 6.5 * math.sqrt(n * odds * (1 - odds)))
+    unlike = " + ".join(f"bit_count((({x}.{s} ^ {y}.{s}) | shiftright({x}.{s} ^ {y}.{s}, 1)) & {0x5555555555555555}L)" for s in BITS)
+    return f"100 * least({x}.size, {y}.size) >= {percent} * greatest({x}.size, {y}.size) and {unlike} <= {most}"
+
+
 def sketched(df: DataFrame, text: str, row_id: str) -> DataFrame:
-    """node, size of the shingle set, two hashes of the whole set, and one key per band."""
+    """node, size of the shingle set, two hashes of the whole set, one key per band, and BITS."""
     importable(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,16 +107,17 @@ def sketched(df: DataFrame, text: str, row_id: str) -> DataFrame:
             size = np.diff(begins)
             sums = [np.concatenate(([U64(0)], np.cumsum(mix(sets + U64(k)))))[begins] for k in (1, 2)]
             whole = [(s[1:] - s[:-1]).view(np.int64) for s in sums]
-            sketch = sketches(sets, begins).reshape(len(size), BANDS, ROWS)
+            flat = sketches(sets, begins)
+            sketch = flat.reshape(len(size), BANDS, ROWS)
             key = np.broadcast_to(np.arange(BANDS, dtype=U64), (len(size), BANDS))
             for r in range(ROWS):
                 key = mix(key * _ODD + sketch[:, :, r])
             offsets = np.arange(len(size) + 1, dtype=np.int32) * BANDS
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(key).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(whole[0]), pa.array(whole[1]), bands], names=["node", "size", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(whole[0]), pa.array(whole[1]), bands, *map(pa.array, packed_bits(flat))], names=["node", "size", "h1", "h2", "bands", *BITS])
 
     rows = df.select(F.col(row_id).cast("long").alias("node"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, "node long, size long, h1 long, h2 long, bands array<long>")
+    return rows.mapInArrow(run, "node long, size long, h1 long, h2 long, bands array<long>, " + ", ".join(f"{s} long" for s in BITS))
 
 
 def _sets(df: DataFrame, text: str, row_id: str, wanted: DataFrame) -> DataFrame:
@@ -110,32 +133,12 @@ def _sets(df: DataFrame, text: str, row_id: str, wanted: DataFrame) -> DataFrame
     return rows.mapInArrow(run, "node long, set array<long>")
 
 
-def rare_first(sets: DataFrame, percent: int) -> DataFrame:
-    """Exact buckets (key, node): two sets of the least similarity share one of their rarest elements.
-
-    By any one order of all elements, the first n - ceil(percent/100 * n) + 1 elements of both sets overlap.
-    The order is by how often an element's counter was hit, so what many sets share comes last. The counters
-    are 65,536 whatever the input, and go to the tasks as one array.
-    """
-    counters = 1 << 16
-    hits = sets.select(F.explode("set").alias("e")).groupBy(F.pmod("e", F.lit(counters)).cast("int").alias("c")).count().collect()
-    weight = np.zeros(counters, np.int64)
-    for c, n in hits:
-        weight[c] = n
-    table = sets.sparkSession.sparkContext.broadcast(weight)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, many = [np.zeros(0, np.int64)], []
-            for own in batch.column("set"):
-                e = own.values.to_numpy()
-                n = len(e) + 1 + -len(e) * percent // 100
-                keys.append(e[np.lexsort((e, table.value[e % counters]))[:n]])
-                many.append(len(keys[-1]))
-            nodes = np.repeat(batch.column("node").to_numpy(), np.array(many, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(nodes)], names=["key", "node"])
-
-    return sets.mapInArrow(run, "key long, node long")
+def shared_elements(sets: DataFrame) -> DataFrame:
+    """node and common: how many of its elements another of the sets has too. No link can have more in common."""
+    each = sets.select("node", F.explode("set").alias("e"))
+    alone = each.groupBy("e").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    total = sets.groupBy("node").agg(F.sum(F.size("set")).alias("total"))
+    return total.join(alone, "node", "left").select("node", (F.col("total") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
 def near_duplicates(df: DataFrame, text: str, row_id: str, percent: int = 75) -> DataFrame:
@@ -149,22 +152,25 @@ def near_duplicates(df: DataFrame, text: str, row_id: str, percent: int = 75) ->
     """
     rows = saved(sketched(df, text, row_id))
     filled = rows.where("size > 0 and node is not null")
-    first = saved(filled.groupBy("h1", "h2", "size").agg(F.min("node").alias("leader"), F.count("*").alias("n"), F.first("bands").alias("bands")))
-    nodes = first.select(F.col("leader").alias("node"), "size")
-    buckets = first.select(F.explode("bands").alias("key"), "size", F.col("leader").alias("node"))
-    sizes = nodes.select(F.col("node").alias("n"), F.col("size").alias("s"))
+    extra = [F.first(s).alias(s) for s in BITS]
+    first = saved(filled.groupBy("h1", "h2", "size").agg(F.min("node").alias("leader"), F.count("*").alias("n"), F.first("bands").alias("bands"), *extra))
+    nodes = saved(first.select(F.col("leader").alias("node"), "size", *BITS))
+    buckets = first.select(F.explode("bands").alias("key"), F.col("leader").alias("node"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(sizes, F.col("a") == F.col("n")).select("a", "b", F.col("s").alias("sa"))
-        sized = sized.join(sizes, F.col("b") == F.col("n")).select("a", "b", "sa", F.col("s").alias("sb"))
-        likely = saved(sized.where(100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")))
-        wanted = saved(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         sets = saved(_sets(df, text, row_id, wanted))
         one, two = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
-        return likely.join(one, "a").join(two, "b").where((100 + percent) * both >= percent * (F.col("sa") + F.col("sb"))).select("a", "b")
+        return pairs.join(one, "a").join(two, "b").where((100 + percent) * both >= percent * (F.size("x") + F.size("y"))).select("a", "b")
+
+    def narrow(rest: DataFrame) -> tuple[DataFrame, str]:
+        open_ = saved(rest.select("node").distinct())
+        common = saved(shared_elements(_sets(df, text, row_id, open_)))
+        kept = saved(rest.join(common, "node").where(f"100 * common >= {percent} * size"))
+        return kept, f"{100 + percent} * least(x.common, y.common) >= {percent} * (x.size + y.size)"
 
-    found = linked(buckets, nodes, confirm, lambda wanted: rare_first(saved(_sets(df, text, row_id, wanted)), percent), ("size", "node"))
+    found = linked(buckets, nodes, confirm, near=likely(percent, "x", "y"), narrow=narrow)
     copies = first.where("n > 1").select("h1", "h2", "size", "leader")
     led = rows.join(saved(copies), ["h1", "h2", "size"], "left")
     led = led.select(F.col("node").alias("id"), "size", F.when(F.col("size") > 0, F.coalesce("leader", "node")).otherwise(F.col("node")).alias("node"))
