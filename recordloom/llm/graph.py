@@ -34,7 +34,32 @@ def with_components(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def linked(buckets: DataFrame, nodes: DataFrame, confirm, refine=None, near: str = "4 * least(x.size, y.size) >= 3 * greatest(x.size, y.size)", narrow=None) -> DataFrame:
+#: Longs of 64 parity bits that stand for a set.
+PARITY = 8
+
+
+def shared_elements(sets: DataFrame) -> DataFrame:
+    """node, common and p0..p7 of each set (node, set).
+
+    common: how many of its elements another of the sets has too; no link can have more in common. The bit of
+    p0..p7 that an element is hashed to is flipped once by each, so two sets differ in no more bits than elements.
+    """
+    each = sets.select("node", F.explode("set").alias("e"))
+    alone = each.groupBy("e").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    flips = [F.expr(f"bit_xor(if((e >> 6) & {PARITY - 1} = {i}, shiftleft(1L, cast(e & 63 as int)), 0L))").alias(f"p{i}") for i in range(PARITY)]
+    total = each.groupBy("node").agg(F.count("*").alias("total"), *flips)
+    return total.join(alone, "node", "left").withColumn("common", F.col("total") - F.coalesce("alone", F.lit(0))).drop("total", "alone")
+
+
+def narrowed(rest: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, str]:
+    """For `linked`: members that share enough elements with any other, and what every link of two of them fulfils."""
+    kept = saved(rest.join(saved(shared_elements(sets)), "node").where(f"100 * common >= {percent} * size"))
+    unlike = " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(PARITY))
+    enough = f"{100 + percent} * least(x.common, y.common) >= {percent} * (x.size + y.size)"
+    return kept, f"{enough} and {100 + percent} * ({unlike}) <= {100 - percent} * (x.size + y.size)"
+
+
+def linked(buckets: DataFrame, nodes: DataFrame, confirm, refine=None, near: str = "4 * least(x.size, y.size) >= 3 * greatest(x.size, y.size)", narrow=None, rounds: int = 2) -> DataFrame:
     """Components (node, component) of the confirmed pairs among nodes that share a bucket.
 
     buckets: key, node; nodes: node, size (of its set) and whatever `near` looks at, a condition on nodes x
@@ -42,8 +67,9 @@ def linked(buckets: DataFrame, nodes: DataFrame, confirm, refine=None, near: str
     node meets only two of each of its buckets, picked by a hash of the bucket and the node, so a bucket of any
     size gives twice as many pairs as it has members, and a large group has many leaders. Only nodes of different components that still share a bucket, or
     one of the finer buckets (key, node) that refine(node) gives for them, are paired after that. Copies and
-    near copies have merged by then, so a large group is not paired with itself. narrow may add a column to
-    these nodes, leave out those that can have no link, and give a condition to go with `near`.
+    near copies have merged by then, so a large group is not paired with itself. narrow may add columns to
+    these nodes, leave out those that can have no link, and give a condition to go with `near`. Before that, up
+    to `rounds` times, each meets two more leaders of its buckets, for as long as that finds links.
     """
     picked = F.struct(F.xxhash64("key", "node").alias("h"), "node")
     heads = buckets.groupBy("key").agg(F.min(picked).alias("low"), F.max(picked).alias("high"), F.count("*").alias("n"))
@@ -61,13 +87,32 @@ def linked(buckets: DataFrame, nodes: DataFrame, confirm, refine=None, near: str
         if open_.isEmpty():
             return found
         rest = _mixed(saved(with_components(refine(open_), found)))
-    rest, also = saved(rest.join(nodes, "node")), "true"
+    rest, tried = saved(rest.join(nodes, "node")), pairs
     if narrow:
         rest, also = narrow(rest)
+        near = f"{near} and {also}"
+    for salt in range(rounds):
+        pairs = saved(_met(rest, near, salt).join(tried, ["a", "b"], "left_anti"))
+        links = saved(confirm(pairs))
+        tried = tried.union(pairs)
+        if links.isEmpty():
+            break
+        found = saved(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)))
+        rest = saved(_mixed(saved(with_components(rest.drop("component"), found))))
     x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, "key").where(f"x.component < y.component and {near} and {also}").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = saved(confirm(saved(more.join(pairs, ["a", "b"], "left_anti"))))
-    return found if more.isEmpty() else saved(components(links.union(more)))
+    more = x.join(y, "key").where(f"x.component < y.component and {near}").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    more = saved(confirm(saved(more.join(tried, ["a", "b"], "left_anti"))))
+    return found if more.isEmpty() else saved(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
+
+
+def _met(rest: DataFrame, near: str, salt: int) -> DataFrame:
+    """Pairs (a, b) of each member with two leaders of its bucket, of two components, where it is in another."""
+    order = F.struct(F.xxhash64(F.lit(salt), "key", "component"), F.xxhash64(F.lit(salt), "node"), "node")
+    each = rest.select("key", order.alias("o"), F.struct(*[c for c in rest.columns if c != "key"]).alias("y"))
+    heads = each.groupBy("key").agg(F.min_by("y", "o").alias("low"), F.max_by("y", "o").alias("high"))
+    heads = saved(heads.select("key", F.explode(F.array("low", "high")).alias("x")))
+    met = each.join(heads, "key").where(f"x.component <> y.component and {near}")
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _mixed(members: DataFrame) -> DataFrame:

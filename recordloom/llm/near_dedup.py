@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ._store import importable, saved
 from ._words import LOWER, NOT_SPACE, Rolling, doc_of, joined, mix, pieces, spans
 from ._words import U as U64
-from .graph import linked, with_components
+from .graph import linked, narrowed, with_components
 
 #: 36 bands of 4 coordinates: documents at the least similarity of 0.75 share none with odds of one in a million.
 BANDS, ROWS = 36, 4
@@ -133,14 +133,6 @@ def _sets(df: DataFrame, text: str, row_id: str, wanted: DataFrame) -> DataFrame
     return rows.mapInArrow(run, "node long, set array<long>")
 
 
-def shared_elements(sets: DataFrame) -> DataFrame:
-    """node and common: how many of its elements another of the sets has too. No link can have more in common."""
-    each = sets.select("node", F.explode("set").alias("e"))
-    alone = each.groupBy("e").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    total = sets.groupBy("node").agg(F.sum(F.size("set")).alias("total"))
-    return total.join(alone, "node", "left").select("node", (F.col("total") - F.coalesce("alone", F.lit(0))).alias("common"))
-
-
 def near_duplicates(df: DataFrame, text: str, row_id: str, percent: int = 75) -> DataFrame:
     """row_id, n_shingles, component_id (the smallest id reachable) and kept (it is the smallest) of every row.
 
@@ -165,10 +157,7 @@ def near_duplicates(df: DataFrame, text: str, row_id: str, percent: int = 75) ->
         return pairs.join(one, "a").join(two, "b").where((100 + percent) * both >= percent * (F.size("x") + F.size("y"))).select("a", "b")
 
     def narrow(rest: DataFrame) -> tuple[DataFrame, str]:
-        open_ = saved(rest.select("node").distinct())
-        common = saved(shared_elements(_sets(df, text, row_id, open_)))
-        kept = saved(rest.join(common, "node").where(f"100 * common >= {percent} * size"))
-        return kept, f"{100 + percent} * least(x.common, y.common) >= {percent} * (x.size + y.size)"
+        return narrowed(rest, saved(_sets(df, text, row_id, saved(rest.select("node").distinct()))), percent)
 
     found = linked(buckets, nodes, confirm, near=likely(percent, "x", "y"), narrow=narrow)
     copies = first.where("n > 1").select("h1", "h2", "size", "leader")
