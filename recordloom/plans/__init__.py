@@ -1 +1,6 @@
-"""plans of the library."""
+"""The registered queries and their SQL."""
+
+from . import run_queries  # noqa: F401  (registers its queries)
+from .queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from recordloom.plans.queries import QUERIES, SQL
+from recordloom.plans import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
