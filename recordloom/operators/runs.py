@@ -70,3 +70,21 @@ def inverse_frequency(titles: DataFrame, title: str) -> DataFrame:
     words = each.select(F.explode(F.array_distinct(F.split(F.lower(title), " "))).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("df"))
     n = each.agg(F.count("*").alias("n"))  # one row
     return words.join(F.broadcast(n)).select("word", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("weight"))
+
+
+def stale(outputs: DataFrame, inputs: DataFrame, key: list[str], checks: dict[str, str]) -> DataFrame:
+    """Outputs whose stored columns differ from the input's current ones, with the reasons; checks maps column to reason."""
+    now = inputs.select(*key, *(F.col(c).alias(f"_now_{c}") for c in checks))
+    reasons = F.array_compact(F.array(*(F.when(~F.col(c).eqNullSafe(F.col(f"_now_{c}")), F.lit(why)) for c, why in checks.items())))
+    return outputs.join(now, key).withColumn("reasons", reasons).where("size(reasons) > 0").select(*key, "reasons")
+
+
+def unmapped(cells: DataFrame, layout: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """How many filled cells lie outside the layout, by location."""
+    return cells.join(layout.select(*on).distinct(), on, "left_anti").groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def run_status(stages: DataFrame, run: str, produced: Column) -> DataFrame:
+    """A run awaits review if any of its stages produced something, else it failed."""
+    made = stages.groupBy(run).agg(F.sum(F.when(produced, 1).otherwise(0)).alias("produced"))
+    return made.withColumn("status", F.when(F.col("produced") > 0, "awaiting_review").otherwise("failed"))

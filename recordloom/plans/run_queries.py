@@ -126,3 +126,27 @@ AND len(string_split(trim(lower(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', '
 def f24_titles(spark, sf):
     each = lines(table(spark, sf, "documents")).where(fx.plausible_title(F.col("text")))
     return each.groupBy("doc_id").agg(F.count("*").alias("titles"))
+
+
+@query("""WITH c AS (SELECT o_custkey AS key, min(o_orderkey) % 3 AS print, max(o_orderkey) % 2 AS revision FROM orders GROUP BY 1)
+SELECT key, array_to_string(list_filter([CASE WHEN key % 3 <> print THEN 'input changed' END, CASE WHEN c_nationkey % 2 <> revision THEN 'revision changed' END], lambda x: x IS NOT NULL), '|') AS reasons
+FROM c JOIN customer ON key = c_custkey WHERE key % 3 <> print OR c_nationkey % 2 <> revision""")
+def v9_stale(spark, sf):
+    key = F.col("o_custkey").alias("key")
+    made = table(spark, sf, "orders").groupBy(key).agg((F.min("o_orderkey") % 3).alias("print"), (F.max("o_orderkey") % 2).alias("revision"))
+    now = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 3).alias("print"), (F.col("c_nationkey") % 2).alias("revision"))
+    found = runs.stale(made, now, ["key"], {"print": "input changed", "revision": "revision changed"})
+    return found.select("key", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query("""SELECT l_shipdate, count(*) AS n FROM lineitem l ANTI JOIN (SELECT DISTINCT o_orderkey AS l_orderkey FROM orders WHERE o_orderstatus = 'F') o
+ON l.l_orderkey = o.l_orderkey GROUP BY 1""")
+def w6_unmapped(spark, sf):
+    layout = table(spark, sf, "orders").where("o_orderstatus = 'F'").withColumnRenamed("o_orderkey", "l_orderkey")
+    return runs.unmapped(table(spark, sf, "lineitem"), layout, ["l_orderkey"], ["l_shipdate"])
+
+
+@query("""SELECT l_orderkey, CAST(sum(CASE WHEN l_quantity >= 40 THEN 1 ELSE 0 END) AS BIGINT) AS produced,
+CASE WHEN sum(CASE WHEN l_quantity >= 40 THEN 1 ELSE 0 END) > 0 THEN 'awaiting_review' ELSE 'failed' END AS status FROM lineitem GROUP BY 1""")
+def o3_run_status(spark, sf):
+    return runs.run_status(table(spark, sf, "lineitem"), "l_orderkey", F.col("l_quantity") >= 40)
