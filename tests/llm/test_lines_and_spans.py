@@ -53,3 +53,43 @@ def test_repeated_spans_equal_plain_windows(spark, corpus):
         runs = len(re.findall(rb"\x01+", bytes(mark)))
         r = got[i]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(x), sum(mark), runs, hashlib.sha256(kept).hexdigest()), i
+
+
+def every_position(line, k=5):
+    return frozenset(line[p : p + k] for p in range(max(1, len(line) - k + 1)))
+
+
+def removed_by_every_position(texts, percent=80):
+    at = [(i, k) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if re.search(r"[^ \t\n\x0b\f\r]", x)]
+    sets = [every_position(texts[i].split("\n")[k]) for i, k in at]
+    label, before = list(range(len(sets))), None
+    while label != before:
+        before = list(label)
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                label[i] = label[j] = min(label[i], label[j])
+    gone = {}
+    for (i, k), first, own in zip(at, label, range(len(sets)), strict=True):
+        if first != own:
+            gone.setdefault(i, []).append(k)
+    return gone
+
+
+def removed_by_query(spark, folder):
+    rows = QUERIES["op1_line_dedup"](spark, folder).collect()
+    return {r.doc_id: [int(x) for x in r.removed_lines.split(",")] for r in rows if r.n_removed}
+
+
+def test_line_dedup_takes_shingles_at_every_position(spark, corpus):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    texts = [x for x in ODD_TEXTS if x is None or "\x1c" not in x]
+    for n in (15, 20, 30):
+        for _ in range(8):
+            words = [word() for _ in range(n)]
+            other = list(words)
+            other[rng.randrange(n)] = word()
+            texts += [" ".join(words), "first\n" + " ".join(other)]
+    want = removed_by_every_position(texts)
+    assert sum(map(len, want.values())) > 30
+    assert removed_by_query(spark, corpus(texts)) == want
