@@ -93,3 +93,18 @@ def test_line_dedup_takes_shingles_at_every_position(spark, corpus):
     want = removed_by_every_position(texts)
     assert sum(map(len, want.values())) > 30
     assert removed_by_query(spark, corpus(texts)) == want
+
+
+def test_line_dedup_reads_words_to_their_end(spark, corpus):
+    rng = random.Random(19)
+    khmer = [chr(0x1780 + i) for i in range(34)]
+    token = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    stay = ["https://example.org/articles/2021/alpha", "https://example.org/products/9981/omega", "internationalisation", "internationalism"]
+    stay += ["data:image/png;" + token("ABCDEFabcdef0123456789+/", 60) for _ in range(3)]
+    stay += ["sha256:0000" + token("0123456789abcdef", 48) for _ in range(3)]
+    stay += ["one two three " + "prefixprefix" + token("qrstuvwxyz", 30) for _ in range(2)]
+    stay += ["".join(khmer[:14]) + token(khmer, 40) for _ in range(3)]
+    twice = "https://example.org/a/page/that/occurs/twice/in/this/corpus"
+    texts = [*stay, twice, twice + "/", "\n".join(stay[:2])]
+    assert removed_by_every_position(texts) == {len(stay) + 1: [0], len(stay) + 2: [0, 1]}
+    assert removed_by_query(spark, corpus(texts)) == {len(stay) + 1: [0], len(stay) + 2: [0, 1]}
