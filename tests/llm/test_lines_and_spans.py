@@ -108,3 +108,12 @@ def test_line_dedup_reads_words_to_their_end(spark, corpus):
     texts = [*stay, twice, twice + "/", "\n".join(stay[:2])]
     assert removed_by_every_position(texts) == {len(stay) + 1: [0], len(stay) + 2: [0, 1]}
     assert removed_by_query(spark, corpus(texts)) == {len(stay) + 1: [0], len(stay) + 2: [0, 1]}
+
+
+def test_line_dedup_misses_no_line_with_words_added(spark, corpus):
+    rng = random.Random(23)
+    texts = []
+    for _ in range(400):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(28))
+        texts += [line, line + "".join(rng.choice("ABCDEFGHIJ") for _ in range(6))]
+    assert removed_by_query(spark, corpus(texts)) == {i: [0] for i in range(1, 800, 2)}
