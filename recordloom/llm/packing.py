@@ -15,6 +15,10 @@ from ._store import importable, saved
 from ._words import pieces
 
 Pattern = tuple[tuple[int, ...], int]
+#: Shares of the fitted sequences, those with the fewest free tokens first, that a plan is tried with.
+QUANTILES = (0.5, 0.9, 1)
+#: Parts of the fitted repeat counts that are rounded down; what they leave is packed best-fit.
+PARTS = (1, 0.75, 0.5)
 
 
 def patterns_of(lengths: np.ndarray, size: int) -> list[tuple[int, ...]]:
@@ -86,26 +90,35 @@ def best_fit(left: np.ndarray, size: int) -> list[Pattern]:
 def plan(counts: dict[int, int], size: int) -> list[Pattern]:
     """Patterns and how often each is used, such that every piece has its place.
 
-    Fitted repeat counts are rounded down as far as pieces are left, and the rest is packed best-fit; plain
-    best-fit of all pieces stands in where it needs fewer sequences.
+    Fitted repeat counts are rounded down as far as pieces are left, and the rest is packed best-fit. How
+    many free tokens a pattern may have is taken from the fit: a quantile of the free tokens of its
+    sequences. Of these plans and PARTS of the counts, the one that needs the fewest sequences is taken.
     """
     if not counts:
         return []
     full = np.zeros(size + 1, np.int64)
     for k, v in counts.items():
         full[k] = v
-    left, chosen = full.copy(), []
     patterns = patterns_of(np.flatnonzero(full), size)
     times = fitted(patterns, full.astype(float))
+    free = size - np.array([sum(p) for p in patterns])
+    order = np.argsort(free, kind="stable")
+    share = np.cumsum(times[order]) / (times.sum() or 1.0)
+    limits = {int(free[order[min(np.searchsorted(share, q), len(order) - 1)]]) for q in QUANTILES}
+    plans = [_rounded(patterns, np.where(free <= limit, times, 0) * part, full, size) for limit in sorted(limits) for part in PARTS]
+    return min(plans, key=lambda c: sum(n for _, n in c))
+
+
+def _rounded(patterns: list[tuple[int, ...]], times: np.ndarray, full: np.ndarray, size: int) -> list[Pattern]:
+    """Whole repeat counts of the patterns, and the pieces that are left packed best-fit."""
+    left, chosen = full.copy(), []
     for j in np.argsort(-times, kind="stable"):
         need = np.unique(patterns[j], return_counts=True)
         n = int(min(np.floor(times[j] + 1e-6), (left[need[0]] // need[1]).min()))
-        if n > 0 and sum(patterns[j]) >= size - 8:
+        if n > 0:
             left[need[0]] -= need[1] * n
             chosen.append((patterns[j], n))
-    chosen += best_fit(left, size)
-    plain = best_fit(full, size)
-    return min(chosen, plain, key=lambda c: sum(n for _, n in c))
+    return chosen + best_fit(left, size)
 
 
 def placed(df: DataFrame, length: str, order: list[str], size: int) -> DataFrame:

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from recordloom.llm import packing
 from recordloom.llm.queries import QUERIES
 from recordloom.llm.sharding import interleave
 from recordloom.llm.token_counts import Merges, token_counts
@@ -85,3 +86,17 @@ def test_a_text_that_repeats_long_passages_is_not_kept(spark, corpus):
     twice = " ".join(f"v{i}" for i in range(200)) + "\n" + " ".join(f"v{i}" for i in range(40))
     got = {r.doc_id: r for r in QUERIES["op5_quality_rules"](spark, corpus([fresh, twice])).collect()}
     assert got[0].kept and not got[1].kept and not got[1].base_failed
+
+
+def test_packing_plans_by_fitted_patterns(monkeypatch):
+    left_over = []
+    monkeypatch.setattr(packing, "best_fit", lambda left, size, plain=packing.best_fit: (left_over.append(int(left.sum())), plain(left, size))[1])
+    wide = {n: 20 + n % 7 for n in range(1100, 1901)}
+    sequences = packing.plan(wide, 2048)
+    assert max(left_over) < sum(wide.values())
+    used = Counter()
+    for pattern, times in sequences:
+        assert sum(pattern) <= 2048
+        for n in pattern:
+            used[n] += times
+    assert used == wide
