@@ -71,7 +71,7 @@ def sketches(sets: np.ndarray, begins: np.ndarray, size: int = BANDS * ROWS) ->
             break
         h = mix(elements + U64((i + 1) * int(_ODD) & 0xFFFFFFFFFFFFFFFF))
         slot = ((h >> U64(40)) * U64(size) >> U64(24)).astype(np.int64) if i < size else i - size
-        np.minimum.at(flat, where * size + slot, (U64(i) << U64(56)) | (mix(h) >> U64(8)))
+        np.minimum.at(flat, where * size + slot, (U64(i) << U64(55)) | (mix(h) >> U64(9)))
         open_ = (flat.reshape(n, size) == empty).any(axis=1)
         left = open_[where]
         elements, where = elements[left], where[left]

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -190,3 +191,16 @@ def test_quality_learns_from_labels_and_keeps_clean_documents(spark):
     assert sum(got[i].kept == (i % 6 > 1) for i in range(300, 600)) >= 294
     assert judged(docs, some.limit(0)).where("not kept").count() == 0
     assert judged(docs.limit(0), some).count() == 0
+
+
+def test_sketches_of_few_shingles_keep_the_order_of_rounds():
+    from recordloom.llm.near_dedup import sketches
+
+    rng, pairs, size = np.random.default_rng(5), 3000, 144
+    four = rng.integers(0, 2**63, (pairs, 4)).astype(np.uint64)
+    one = sketches(four[:, :3].ravel(), np.arange(pairs + 1) * 3)
+    two = sketches(four.ravel(), np.arange(pairs + 1) * 4)
+    late = one >> np.uint64(55)
+    assert ((late < size) | (late == size + np.arange(size, dtype=np.uint64))).all()
+    unlike = ((one ^ two) & np.uint64(3) != 0).sum(axis=1)
+    assert 26 < unlike.mean() < 28
