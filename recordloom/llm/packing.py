@@ -1,6 +1,5 @@
 """Pattern packing: few-document length patterns, repeat counts by non-negative least squares, best-fit residuals."""
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -9,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._pretokens import Memo
+from ._pretokens import encoder
 from ._ranks import ranked
 from ._store import importable, saved
 from ._words import pieces
@@ -110,15 +109,26 @@ def plan(counts: dict[int, int], size: int) -> list[Pattern]:
 
 
 def _rounded(patterns: list[tuple[int, ...]], times: np.ndarray, full: np.ndarray, size: int) -> list[Pattern]:
-    """Whole repeat counts of the patterns, and the pieces that are left packed best-fit."""
-    left, chosen = full.copy(), []
-    for j in np.argsort(-times, kind="stable"):
-        need = np.unique(patterns[j], return_counts=True)
-        n = int(min(np.floor(times[j] + 1e-6), (left[need[0]] // need[1]).min()))
-        if n > 0:
-            left[need[0]] -= need[1] * n
-            chosen.append((patterns[j], n))
-    return chosen + best_fit(left, size)
+    """Whole repeat counts of the patterns, their sum kept, and the pieces that are left packed best-fit.
+
+    Counts are rounded down, and what their sum lacks goes, one each, to the patterns with the largest
+    fractions, for as long as there are pieces for them.
+    """
+    left, floors = full.copy(), np.floor(times + 1e-6)
+    needs = [np.unique(p, return_counts=True) for p in patterns]
+    used = np.zeros(len(patterns), np.int64)
+    lacking = int(times.sum()) - int(floors.sum())
+    for order, wanted in ((np.argsort(-times, kind="stable"), floors), (np.argsort(floors - times, kind="stable"), times > floors)):
+        rest = int(floors.sum()) if wanted is floors else lacking
+        for j in order:
+            if rest <= 0:
+                break
+            n = int(min(wanted[j], (left[needs[j][0]] // needs[j][1]).min()))
+            if n > 0:
+                left[needs[j][0]] -= needs[j][1] * n
+                used[j] += n
+                rest -= n
+    return [(patterns[j], int(used[j])) for j in np.flatnonzero(used)] + best_fit(left, size)
 
 
 def placed(df: DataFrame, length: str, order: list[str], size: int) -> DataFrame:
@@ -165,28 +175,18 @@ def placed(df: DataFrame, length: str, order: list[str], size: int) -> DataFrame
     return rows.mapInArrow(run, schema)
 
 
-@functools.cache
-def _memo(path: str) -> Memo:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    lib = Tokenizer.from_file(path)
-    return Memo(lambda new: [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch_fast(new, add_special_tokens=False)], 1_000_000)
-
-
 def cut(df: DataFrame, text: str, row_id: str, path: str, size: int) -> DataFrame:
     """row_id, piece, start, length and ids_crc32 of each row's pieces: its tokens and then id 0, at most `size` a piece."""
     importable(df.sparkSession)
-    schema = df.select(row_id).schema.add("piece", "integer", False).add("start", "long", False).add("length", "long", False).add("ids_crc32", "long", False)
+    rows = df.select(F.col(row_id).alias("_id"), F.col(text).alias("_text"))
+    schema = rows.select("_id").schema.add("piece", "integer", False).add("start", "long", False).add("length", "long", False).add("ids_crc32", "long", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(path)
+        encode = encoder(path)
         for batch in pieces(batches, "_text"):
-            rows, out = memo.rows([x or "" for x in batch.column("_text").to_pylist()]), ([], [], [], [], [])
-            for i, parts in enumerate(rows):
-                ids = memoryview(b"".join([*parts, b"\0\0\0\0"]))
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for i, text in enumerate(batch.column("_text").to_pylist()):
+                ids = memoryview(encode(text or "").astype("<u4").tobytes() + b"\0\0\0\0")
                 n = len(ids) // 4
                 start, nth = 0, 0
                 while start < n:
@@ -197,7 +197,7 @@ def cut(df: DataFrame, text: str, row_id: str, path: str, size: int) -> DataFram
             key = batch.column(0).take(pa.array(out[0], pa.int64()))
             yield pa.RecordBatch.from_arrays([key, pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], names=schema.names)
 
-    return df.select(row_id, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def packed(df: DataFrame, text: str, row_id: str, path: str, size: int = 2048) -> DataFrame:
@@ -205,9 +205,11 @@ def packed(df: DataFrame, text: str, row_id: str, path: str, size: int = 2048) -
 
     Null and empty texts have one piece, id 0. A text of more than `size` ids is cut from its end into pieces
     of `size`, so that the first may be shorter. Repeated rows and null ids are packed like others; an empty
-    table gives no rows; other columns of df are not looked at.
+    table gives no rows; other columns of df are not looked at. An id column named like a new one is refused.
     """
-    return placed(saved(cut(df, text, row_id, path, size)), "length", [row_id, "piece", "ids_crc32"], size)
+    if row_id in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset"):
+        raise ValueError(f"the id column is named like a new column: {row_id}")
+    return placed(saved(cut(df, text, row_id, path, size)), "length", ["_id", "piece", "ids_crc32"], size).withColumnRenamed("_id", row_id)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

@@ -100,3 +100,23 @@ def test_packing_plans_by_fitted_patterns(monkeypatch):
         for n in pattern:
             used[n] += times
     assert used == wide
+
+
+def test_encoder_gives_the_ids_of_the_library():
+    from recordloom.llm._pretokens import encoder
+
+    lib, own = Tokenizer.from_file(PATH), encoder(PATH)
+    odd = [f"a{chr(c)}1{chr(c)} {chr(c)}" for c in range(0x80, 0x3000, 7)]
+    for t in [*(x or "" for x in ODD_TEXTS), *odd, "x" * 100_000]:
+        assert own(t).tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t[:60])
+    word = public_tokenizers.path("word_bpe_49k.json")
+    assert encoder(word)("Two words").tolist() == Tokenizer.from_file(word).encode("Two words", add_special_tokens=False).ids
+
+
+def test_rounding_keeps_patterns_of_several_documents_on_small_input():
+    rng = __import__("random").Random(3)
+    counts = Counter(rng.randint(200, 1500) for _ in range(400))
+    sequences = packing.plan(counts, 2048)
+    whole = [p for p, _ in sequences if len(p) > 1 and sum(p) == 2048]
+    assert len(whole) > 20
+    assert sum(n for _, n in sequences) <= 1.03 * sum(k * v for k, v in counts.items()) / 2048 + 1
