@@ -5,6 +5,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _LOCAL: list[str] = []
@@ -32,4 +33,28 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def freed(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing will read again."""
+    for df in tables:
+        path = df.__dict__.pop("_saved_at", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Rows of a few numbers that may be sent to every executor: some 30 MB.
+FEW = 500_000
+
+
+def small(df: DataFrame, most: int | None = None, few: int = FEW) -> DataFrame:
+    """df, marked to be sent to every executor if it is known to have few rows.
+
+    `most` is a bound that the caller knows; without one, the rows of the saved table df are counted. Larger
+    tables are joined by a shuffle, with the same rows.
+    """
+    return F.broadcast(df) if (df.count() if most is None else most) <= few else df

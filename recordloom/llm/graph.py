@@ -1,37 +1,47 @@
-"""Linked groups: candidate pairs from shared buckets, and distributed union-find."""
+"""Linked groups: candidate pairs from shared buckets, exact confirmation, and distributed union-find."""
+
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import saved
+from ._store import FEW, freed, saved, small
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (the smallest node reachable) of every node of the edges (a, b), by large and small stars.
+    """node and component (the smallest node reachable) of every node of the edges (a, b), by hooking and shortcuts.
 
-    Each round moves every neighbour of a node to the smallest one; the number of rounds grows with the
-    logarithm of the longest path. A node's smallest neighbour is found by partial aggregates and saved, so
-    that the join back is one that adaptive execution can split at a hub. Loops and repeated edges do no harm.
+    Every node points to a smaller one, at first to its smallest neighbour. In each round a node's neighbours
+    tell where their pointers lead in two steps; the node and what it points to take the smallest of these,
+    until nothing changes: about as many rounds as the logarithm of the longest path. Only minima of partial
+    aggregates are joined back, so a hub costs no more than its edges. Loops and repeated edges do no harm.
     """
-    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct())
-    state = None
+    pairs = edges.where("a <> b").select("a", "b")
+    both = saved(pairs.union(pairs.select("b", "a")).toDF("u", "v"))
+    few = both.count()
+
+    def jumped(now: DataFrame) -> DataFrame:
+        to = now.select(F.col("node").alias("f"), F.col("f").alias("g"))
+        out = saved(now.join(small(to, few), "f").select("node", "f", "g"))
+        freed(now)
+        return out
+
+    state = jumped(saved(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("f"))))
+    before = None
     while True:
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = saved(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("b"), F.col("m").alias("a")).distinct())
-        least = saved(large.groupBy("b").agg(F.min("a").alias("m")))
-        other = large.join(least, "b").where("a <> m").select(F.col("a").alias("b"), F.col("m").alias("a"))
-        now = saved(other.union(least.select("b", F.col("m").alias("a"))).distinct())
-        n = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if n == state:
-            break
-        state = n
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select("a", "a").distinct())
+        now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "g"))).first()
+        if now == before:
+            return state.select("node", F.col("g").alias("component"))
+        before = now
+        near = both.join(small(state.select(F.col("node").alias("v"), "g"), few), "v").groupBy("u").agg(F.min("g").alias("m"))
+        told = state.join(small(near.withColumnRenamed("u", "node"), few), "node")
+        moves = F.array(F.struct("node", F.least("f", "g", "m").alias("f")), F.struct(F.col("f").alias("node"), F.least("f", "m").alias("f")))
+        state = jumped(saved(told.select(F.explode(moves).alias("x")).groupBy("x.node").agg(F.min("x.f").alias("f"))))
 
 
 def with_components(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """nodes (node, ...) with their component, themselves where they have no edge."""
-    return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return nodes.join(small(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 #: Longs of 64 parity bits that stand for a set.
@@ -39,7 +49,7 @@ PARITY = 8
 
 
 def shared_elements(sets: DataFrame) -> DataFrame:
-    """node, common and p0..p7 of each set (node, set).
+    """node, total, common and p0..p7 of each set (node, set).
 
     common: how many of its elements another of the sets has too; no link can have more in common. The bit of
     p0..p7 that an element is hashed to is flipped once by each, so two sets differ in no more bits than elements.
@@ -48,74 +58,95 @@ def shared_elements(sets: DataFrame) -> DataFrame:
     alone = each.groupBy("e").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
     flips = [F.expr(f"bit_xor(if((e >> 6) & {PARITY - 1} = {i}, shiftleft(1L, cast(e & 63 as int)), 0L))").alias(f"p{i}") for i in range(PARITY)]
     total = each.groupBy("node").agg(F.count("*").alias("total"), *flips)
-    return total.join(alone, "node", "left").withColumn("common", F.col("total") - F.coalesce("alone", F.lit(0))).drop("total", "alone")
+    return total.join(alone, "node", "left").withColumn("common", F.col("total") - F.coalesce("alone", F.lit(0))).drop("alone")
 
 
-def narrowed(rest: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, str]:
-    """For `linked`: members that share enough elements with any other, and what every link of two of them fulfils."""
-    kept = saved(rest.join(saved(shared_elements(sets)), "node").where(f"100 * common >= {percent} * size"))
+def _narrowed(rest: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, str]:
+    """Members that share enough elements with any other, and what every link of two of them fulfils."""
+    bounds = saved(shared_elements(sets))
+    kept = saved(rest.join(small(bounds, few=FEW // 8), "node").where(f"100 * common >= {percent} * total"))
     unlike = " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(PARITY))
-    enough = f"{100 + percent} * least(x.common, y.common) >= {percent} * (x.size + y.size)"
-    return kept, f"{enough} and {100 + percent} * ({unlike}) <= {100 - percent} * (x.size + y.size)"
+    enough = f"{100 + percent} * least(x.common, y.common) >= {percent} * (x.total + y.total)"
+    return kept, f"{enough} and {100 + percent} * ({unlike}) <= {100 - percent} * (x.total + y.total)"
+
+
+#: Hashes by which leaders of buckets are picked.
+LEADERS = 3
+
 
+def linked(
+    buckets: DataFrame, nodes: DataFrame, content_of: Callable[[DataFrame], DataFrame], percent: int,
+    near: str = "true", looked_at: list[str] | None = None, alike: Callable[[DataFrame], DataFrame] | None = None, given: DataFrame | None = None, rounds: int = 2, narrow: bool = True,
+) -> DataFrame:
+    """Components (node, component) of the links among nodes that share a bucket.
 
-def linked(buckets: DataFrame, nodes: DataFrame, confirm, refine=None, near: str = "4 * least(x.size, y.size) >= 3 * greatest(x.size, y.size)", narrow=None, rounds: int = 2) -> DataFrame:
-    """Components (node, component) of the confirmed pairs among nodes that share a bucket.
+    Nodes are linked if the Jaccard similarity of their sets is percent/100 or more. buckets: key, node;
+    nodes: node, the columns `looked_at` that `near` (a condition on nodes x and y that every link fulfils)
+    looks at, and whatever content_of needs. content_of takes some of the nodes and gives (node, content); set_of makes the set of a content. given
+    are links (a, b) known beforehand.
 
-    buckets: key, node; nodes: node, size (of its set) and whatever `near` looks at, a condition on nodes x
-    and y that every link fulfils. confirm takes pairs (a, b) and returns those that are links. First every
-    node meets only two of each of its buckets, picked by a hash of the bucket and the node, so a bucket of any
-    size gives twice as many pairs as it has members, and a large group has many leaders. Only nodes of different components that still share a bucket, or
-    one of the finer buckets (key, node) that refine(node) gives for them, are paired after that. Copies and
-    near copies have merged by then, so a large group is not paired with itself. narrow may add columns to
-    these nodes, leave out those that can have no link, and give a condition to go with `near`. Before that, up
-    to `rounds` times, each meets two more leaders of its buckets, for as long as that finds links.
+    Every node meets only two of each of its buckets, picked by one of LEADERS hashes, so a bucket of any size
+    gives twice as many pairs as it has members, and the buckets of a large group have some leaders in common. Only buckets that still hold nodes
+    of different components go on: with `narrow`, bounds from their whole sets (`shared_elements`) leave out
+    members that can have no link, and each meets up to `rounds` times two other leaders, for as long as that finds links. What
+    then still shares a bucket without a common component is paired in full, as far as the bounds let it.
+    Copies and near copies have merged by then, so a large group is not paired with itself.
     """
-    picked = F.struct(F.xxhash64("key", "node").alias("h"), "node")
-    heads = buckets.groupBy("key").agg(F.min(picked).alias("low"), F.max(picked).alias("high"), F.count("*").alias("n"))
-    heads = saved(heads.where("n > 1").select("key", F.array("low.node", "high.node").alias("leaders")))
-    shared = saved(buckets.select("key", "node").join(heads, "key"))
-    each = shared.select(F.explode("leaders").alias("a"), "node").where("node <> a")
-    pairs = saved(each.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-    whole = [F.struct(*nodes.columns).alias(c) for c in ("x", "y")]
-    met = pairs.join(nodes.select(F.col("node").alias("a"), whole[0]), "a").join(nodes.select(F.col("node").alias("b"), whole[1]), "b")
-    links = saved(confirm(saved(met.where(near).select("a", "b"))))
-    found = saved(components(links))
-    rest = _mixed(saved(with_components(shared.select("key", "node"), found)))
-    if refine:
-        open_ = saved(rest.select("node").distinct())
-        if open_.isEmpty():
-            return found
-        rest = _mixed(saved(with_components(refine(open_), found)))
-    rest, tried = saved(rest.join(nodes, "node")), pairs
-    if narrow:
-        rest, also = narrow(rest)
-        near = f"{near} and {also}"
-    for salt in range(rounds):
-        pairs = saved(_met(rest, near, salt).join(tried, ["a", "b"], "left_anti"))
-        links = saved(confirm(pairs))
-        tried = tried.union(pairs)
-        if links.isEmpty():
+    keys = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    rest = buckets.join(small(saved(keys)), "key").withColumn("component", F.col("node"))
+    rest = saved(rest.join(nodes.select("node", *looked_at), "node") if looked_at else rest)
+    links = given.select("a", "b") if given is not None else rest.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    found = None
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are links; what they read of a node comes in one scan."""
+        pairs = saved(pairs.distinct())
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        content = saved(content_of(nodes.join(small(saved(wanted)), "node", "left_semi")))
+        one, two = content.toDF("a", "x"), content.toDF("b", "y")
+        read = one.join(small(pairs), "a").join(two, "b").select("a", "b", "x", "y")
+        both = F.size(F.array_intersect("x", "y"))
+        links = saved(alike(read) if alike else read.where((100 + percent) * both >= percent * (F.size("x") + F.size("y"))).select("a", "b"))
+        freed(pairs, content)
+        return links
+
+    def merged(more: DataFrame) -> DataFrame:
+        nonlocal links
+        links = links.union(more)
+        return components(links)
+
+    def open_members() -> DataFrame:
+        """Members of the buckets that hold more than one component."""
+        now = saved(with_components(rest.drop("component"), found))
+        mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        return saved(now.join(small(saved(mixed.select("key"))), "key"))
+
+    for salt in range(rounds + 1):
+        more = confirmed(_met(rest, near, salt))
+        if salt and more.isEmpty():
             break
-        found = saved(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)))
-        rest = saved(_mixed(saved(with_components(rest.drop("component"), found))))
+        found = merged(more)
+        rest = open_members()
+        if rest.isEmpty():
+            return found
+        if narrow and not salt:
+            members = nodes.join(small(saved(rest.select("node").distinct())), "node", "left_semi")
+            sets = saved(content_of(members).toDF("node", "set"))
+            rest, also = _narrowed(rest, sets, percent)
+            freed(sets)
+            near = f"{near} and {also}"
     x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, "key").where(f"x.component < y.component and {near}").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = saved(confirm(saved(more.join(tried, ["a", "b"], "left_anti"))))
-    return found if more.isEmpty() else saved(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
+    pairs = x.join(y, "key").where(f"x.component < y.component and {near}")
+    more = confirmed(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
+    return found if more.isEmpty() else merged(more)
 
 
 def _met(rest: DataFrame, near: str, salt: int) -> DataFrame:
-    """Pairs (a, b) of each member with two leaders of its bucket, of two components, where it is in another."""
-    order = F.struct(F.xxhash64(F.lit(salt), "key", "component"), F.xxhash64(F.lit(salt), "node"), "node")
+    """Pairs (a, b) of each member with two leaders of its bucket that are in another component."""
+    turn = F.pmod("key", F.lit(LEADERS))
+    order = F.struct(F.xxhash64(F.lit(salt), turn, "component"), F.xxhash64(F.lit(salt), turn, "node"), "node")
     each = rest.select("key", order.alias("o"), F.struct(*[c for c in rest.columns if c != "key"]).alias("y"))
     heads = each.groupBy("key").agg(F.min_by("y", "o").alias("low"), F.max_by("y", "o").alias("high"))
     heads = saved(heads.select("key", F.explode(F.array("low", "high")).alias("x")))
-    met = each.join(heads, "key").where(f"x.component <> y.component and {near}")
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-
-
-def _mixed(members: DataFrame) -> DataFrame:
-    """Members (key, node, component) of the buckets that hold more than one component."""
-    keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return members.join(saved(keys.select("key")), "key")
+    met = each.join(small(heads, few=FEW // 8), "key").where(f"x.component <> y.component and {near}")
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))

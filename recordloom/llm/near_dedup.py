@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import importable, saved
+from ._store import importable, saved, small
 from ._words import LOWER, NOT_SPACE, Rolling, doc_of, joined, mix, pieces, spans
 from ._words import U as U64
-from .graph import linked, narrowed, with_components
+from .graph import linked, with_components
 
 #: 36 bands of 4 coordinates: documents at the least similarity of 0.75 share none with odds of one in a million.
 BANDS, ROWS = 36, 4
@@ -129,7 +129,7 @@ def _sets(df: DataFrame, text: str, row_id: str, wanted: DataFrame) -> DataFrame
             lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(sets.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "set"])
 
-    rows = df.select(F.col(row_id).cast("long").alias("node"), F.col(text).alias("_text")).join(wanted, "node", "left_semi")
+    rows = df.select(F.col(row_id).cast("long").alias("node"), F.col(text).alias("_text")).join(small(saved(wanted)), "node", "left_semi")
     return rows.mapInArrow(run, "node long, set array<long>")
 
 
@@ -144,26 +144,13 @@ def near_duplicates(df: DataFrame, text: str, row_id: str, percent: int = 75) ->
     """
     rows = saved(sketched(df, text, row_id))
     filled = rows.where("size > 0 and node is not null")
-    extra = [F.first(s).alias(s) for s in BITS]
-    first = saved(filled.groupBy("h1", "h2", "size").agg(F.min("node").alias("leader"), F.count("*").alias("n"), F.first("bands").alias("bands"), *extra))
-    nodes = saved(first.select(F.col("leader").alias("node"), "size", *BITS))
-    buckets = first.select(F.explode("bands").alias("key"), F.col("leader").alias("node"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        sets = saved(_sets(df, text, row_id, wanted))
-        one, two = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return pairs.join(one, "a").join(two, "b").where((100 + percent) * both >= percent * (F.size("x") + F.size("y"))).select("a", "b")
-
-    def narrow(rest: DataFrame) -> tuple[DataFrame, str]:
-        return narrowed(rest, saved(_sets(df, text, row_id, saved(rest.select("node").distinct()))), percent)
-
-    found = linked(buckets, nodes, confirm, near=likely(percent, "x", "y"), narrow=narrow)
-    copies = first.where("n > 1").select("h1", "h2", "size", "leader")
-    led = rows.join(saved(copies), ["h1", "h2", "size"], "left")
-    led = led.select(F.col("node").alias("id"), "size", F.when(F.col("size") > 0, F.coalesce("leader", "node")).otherwise(F.col("node")).alias("node"))
-    out = with_components(led, found)
+    copies = saved(filled.groupBy("h1", "h2", "size").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    led = rows.join(small(copies), ["h1", "h2", "size"], "left").withColumn("leader", F.coalesce("leader", "node"))
+    leaders = led.where("size > 0 and node = leader")
+    nodes = saved(leaders.select("node", "size", *BITS).dropDuplicates(["node"]))
+    buckets = leaders.select(F.explode("bands").alias("key"), "node")
+    found = linked(buckets, nodes, lambda wanted: _sets(df, text, row_id, wanted.select("node")), percent, likely(percent, "x", "y"), ["size", *BITS], rounds=1)
+    out = with_components(led.select(F.col("node").alias("id"), "size", F.col("leader").alias("node")), found)
     return out.select(F.col("id").alias(row_id), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
