@@ -12,7 +12,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import importable, saved
+from ._store import freed, importable, saved, small
 from ._words import Rolling, joined, mix, pieces
 from ._words import U as U64
 
@@ -118,21 +118,25 @@ def repeated_spans(df: DataFrame, text: str, row_id: str, width: int = WIDTH) ->
     anchors = saved(_anchors(docs, width))
     halves = anchors.select(F.explode(F.array_compact(F.array("r", "l"))).alias("half"), "doc", "low", "high", "whole")
     twice = saved(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"))
-    near = saved(halves.join(twice, "half").select("doc", "low", "high", "whole", "half"))
+    near = saved(halves.join(small(twice), "half").select("doc", "low", "high", "whole", "half"))
+    freed(anchors, twice)
     groups = near.groupBy("whole", "half").agg(F.count("*").alias("n"), F.min(F.struct("doc", "low")).alias("one"))
     groups = saved(groups)
     lone = saved(groups.where("n = 1").select("half").distinct())
-    compared = saved(groups.join(lone, "half", "left_semi").groupBy("whole").agg(F.first("one").alias("one"), F.min("n").alias("n")))
+    compared = saved(groups.join(small(lone), "half", "left_semi").groupBy("whole").agg(F.first("one").alias("one"), F.min("n").alias("n")))
     wanted = saved(compared.groupBy(F.col("one.doc").alias("doc")).agg(F.collect_list("one.low").alias("lows")))
     texts = docs.join(wanted, "doc")
     windows = saved(_windows(texts, width).dropDuplicates(["whole"]))
+    freed(lone, wanted)
     single = windows.select("whole", F.posexplode("windows").alias("nth", "hash"))
     again = saved(single.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     lone_wholes = compared.where("n = 1").select("whole", F.col("one.doc").alias("doc"), F.col("one.low").alias("low"))
     ends = single.join(again, "hash").join(saved(lone_wholes), "whole").select("doc", (F.col("low") + F.col("nth")).alias("from"))
-    ends = ends.groupBy("doc", "from").agg(F.lit(width).alias("more")).select("doc", "from", (F.col("from") + F.col("more")).alias("to"))
+    ends = saved(ends.distinct().select("doc", "from", (F.col("from") + width).alias("to")))
+    freed(windows, again, compared)
     copied = saved(groups.where("n > 1").select("whole").distinct())
-    inner = near.join(copied, "whole", "left_semi").select("doc", F.col("low").alias("from"), (F.col("high") + width).alias("to"))
+    freed(groups)
+    inner = near.join(small(copied), "whole", "left_semi").select("doc", F.col("low").alias("from"), (F.col("high") + width).alias("to"))
     return inner.union(ends)
 
 
