@@ -49,10 +49,20 @@ class Rolling:
     """Prefix sums of a polynomial hash: the hash of any byte range is one subtraction and one product."""
 
     def __init__(self, data: np.ndarray) -> None:
-        self.sums = np.empty(len(data) + 1, U)
+        self._fill(_BYTE[data])
+
+    @classmethod
+    def over(cls, values: np.ndarray) -> "Rolling":
+        """Of a sequence of 64-bit values in place of bytes."""
+        self = cls.__new__(cls)
+        self._fill(values)
+        return self
+
+    def _fill(self, values: np.ndarray) -> None:
+        self.sums = np.empty(len(values) + 1, U)
         self.sums[0] = 0
-        np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=self.sums[1:])
-        self.inverse = powers(_INVERSE, len(data) + 1)
+        np.cumsum(values * powers(_BASE, len(values)), out=self.sums[1:])
+        self.inverse = powers(_INVERSE, len(values) + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(U))
