@@ -11,29 +11,14 @@ from recordloom.llm.queries import QUERIES
 from .conftest import ODD_TEXTS
 
 
-def plain_removed(texts, percent=80):
-    sets, at = [], []
-    for i, t in enumerate(texts):
-        for k, line in enumerate((t or "").split("\n")):
-            if re.search(r"[^ \t\n\x0b\f\r]", line):
-                sets.append(frozenset(m[1] for m in re.finditer(r"(?:(?<![^ \t\n\x0b\f\r])(?=[^ \t\n\x0b\f\r])|(?=[一-鿿゠-ヿ]))(?=(.{1,12}))", line)))
-                at.append((i, k))
-    label = list(range(len(sets)))
-    for _ in range(6):
-        for i, j in itertools.combinations(range(len(sets)), 2):
-            if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
-                label[i] = label[j] = min(label[i], label[j])
-    return Counter(at[i][0] for i in range(len(sets)) if label[i] != i)
-
-
 def test_line_dedup_equals_all_pairs(spark, corpus):
     rng = random.Random(11)
     lines = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.choice([1, 4, 30]))) for _ in range(12)]
     near = [x.replace("w1", "v1", 1) for x in lines]
     texts = [x for x in ODD_TEXTS if x is None or "\x1c" not in x] + ["\n".join(rng.choice(lines + near) for _ in range(4)) for _ in range(12)]
     got = {r.doc_id: r.n_removed for r in QUERIES["op1_line_dedup"](spark, corpus(texts)).collect()}
-    want = plain_removed(texts)
-    assert len(got) == len(texts) and {k: v for k, v in got.items() if v} == dict(want)
+    want = {i: len(gone) for i, gone in removed_by_every_position(texts).items()}
+    assert want and len(got) == len(texts) and {k: v for k, v in got.items() if v} == want
 
 
 def test_repeated_spans_equal_plain_windows(spark, corpus):
@@ -117,3 +102,25 @@ def test_line_dedup_misses_no_line_with_words_added(spark, corpus):
         line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(28))
         texts += [line, line + "".join(rng.choice("ABCDEFGHIJ") for _ in range(6))]
     assert removed_by_query(spark, corpus(texts)) == {i: [0] for i in range(1, 800, 2)}
+
+
+def test_line_dedup_of_short_and_periodic_lines(spark, corpus):
+    rng = random.Random(29)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    token = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    texts = ["-" * 20, "-" * 80, "=-" * 11, "=-" * 300, "* * * " * 9, "* * * " * 40, "abc" * 7, "abc" * 90, "word " * 4, "word " * 40]
+    for n in (8, 9, 13, 18, 20, 22, 30, 38, 41, 47, 55, 64, 80):
+        for _ in range(4):
+            line = token(n)
+            texts += [line, line + token(max(1, (n - 4) // 4)), token(2) + line]
+    assert removed_by_query(spark, corpus(texts)) == removed_by_every_position(texts)
+
+
+def test_line_dedup_keeps_columns_of_any_name_and_takes_an_empty_table(spark):
+    from recordloom.llm.line_dedup import deduplicated, removed_lines
+
+    rows = [(1, "one line of text\nanother line of it", 5, 6, 7), (2, "one line of text", 8, 9, 10), (None, "one line of text", 1, 1, 1), (3, None, 2, 2, 2)]
+    df = spark.createDataFrame(rows, "_id long, line string, removed int, _doc int, g1 int")
+    got = {r._id: r for r in deduplicated(df, "line", "_id").collect()}
+    assert [got[i].line for i in (1, 2, None, 3)] == [rows[0][1], "", rows[2][1], None] and got[2]._doc == 9 and got[2].removed == 8
+    assert deduplicated(df.limit(0), "line", "_id").count() == 0 and removed_lines(df.limit(0), "line", "_id").count() == 0

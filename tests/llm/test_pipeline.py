@@ -33,7 +33,7 @@ def without_lines(texts):
         for k, line in enumerate((t or "").split("\n")):
             if line.strip():
                 at.append((i, k))
-                sets.append({m[1] for m in re.finditer(r"(?<!\S)(?=\S)(?=(.{1,12}))", line)})
+                sets.append({line[p : p + 5] for p in range(max(1, len(line) - 4))})
     gone = {at[i] for i, first in enumerate(merged(sets, 80)) if first != i}
     out = {i: t and "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in texts.items()}
     return {i: t for i, t in out.items() if not (texts[i] or "").strip() or t.strip()}
