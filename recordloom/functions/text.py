@@ -14,23 +14,32 @@ def title_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+#: A word character on neither side; Java's \b would look at ASCII letters only.
+_NOT_BESIDE_WORD = r"(?<![\p{L}\p{N}_])%s(?![\p{L}\p{N}_])"
+
+
 def repeat_key(text: Column) -> Column:
-    """Key under which running lines are the same: digits become # in page labels and short lines."""
-    key = folded(text)
-    return F.when(key.contains("page") | (F.char_length(key) <= 12), F.regexp_replace(key, "[0-9]+", "#")).otherwise(key)
+    """Key under which running lines are the same: digits become # next to the word page and in short lines."""
+    key = F.lower(text)
+    return F.when(key.rlike(_NOT_BESIDE_WORD % "page") | (F.char_length(key) <= 12), F.regexp_replace(key, "[0-9]+", "#")).otherwise(key)
+
+
+def is_page_label(key: Column) -> Column:
+    """Whether a `repeat_key` is nothing but page numbering: #, page # of #, - # -."""
+    return key.rlike(r"^((document\s+)?page\s*)?#{1,4}(\s*(of|/)\s*#{1,4})?$|^-\s*#{1,4}\s*-$")
 
 
 def safe_name(text: Column, fallback: str = "item", most: int = 60) -> Column:
-    """Commas, quotes and line ends become spaces; at most so many characters; never empty."""
-    plain = F.trim(F.regexp_replace(text, r"[,'\"\r\n ]+", " "))
-    return F.coalesce(F.nullif(F.trim(F.substring(plain, 1, most)), F.lit("")), F.lit(fallback))
+    """Commas, semicolons, quotes, tabs and line ends become spaces; at most so many characters; never empty."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"[,;\"'\n\r\t]", " "), r"(?U)\s+", " "))
+    return F.coalesce(F.nullif(F.rtrim(F.substring(plain, 1, most)), F.lit("")), F.lit(fallback))
 
 
 def number_text(text: Column) -> Column:
-    """A number without thousands separators and trailing zeros; null if the text is no number."""
+    """A number of at most five decimals without thousands separators and trailing zeros; null if the text is no number."""
     plain = F.regexp_replace(F.trim(text), ",", "")
-    trimmed = F.regexp_replace(F.regexp_replace(plain, r"^(-?[0-9]+\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return F.when(plain.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), F.regexp_replace(trimmed, r"^(-?)0+([0-9])", "$1$2"))
+    trimmed = F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(plain.rlike(r"^[+-]?[0-9]+(\.[0-9]{1,5})?$"), F.when(plain.contains("."), trimmed).otherwise(plain))
 
 
 def items(text: Column) -> Column:
@@ -51,9 +60,14 @@ def column_letter(index: Column) -> Column:
     return F.when(index < 26, last).otherwise(F.concat(letter((F.floor(index / 26) - 1).cast("int")), last))
 
 
+def cell_reference(column: Column, row: Column) -> Column:
+    """A1 for column 0 and row 1."""
+    return F.concat(column_letter(column), row.cast("string"))
+
+
 def plausible_title(text: Column) -> Column:
-    """At least two letters, at most 160 characters and 22 words, begins upper case or with a digit, no sentence end."""
+    """At least two letters a-z, at most 160 characters and 22 words; begins with a digit, or its first letter is upper case; no sentence end."""
     return (
-        text.rlike("[A-Za-z].*[A-Za-z]") & (F.char_length(text) <= 160) & (F.size(F.split(folded(text), " ")) <= 22)
-        & text.rlike("^[A-Z0-9]") & ~text.rlike("[.;,]$")
+        text.rlike("[A-Za-z][^A-Za-z]*[A-Za-z]") & (F.char_length(text) <= 160) & (F.size(F.split(folded(text), " ")) <= 22)
+        & text.rlike(r"^([0-9]|\P{L}*\p{Lu})") & ~text.rlike(r"[,;]$|\.\s*$")
     )
