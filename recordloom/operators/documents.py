@@ -1,18 +1,8 @@
-"""Page lines to clean text: running lines, islands, as-of sections."""
+"""Page lines to clean text: islands, as-of sections."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import repeat_key
-
-
-def running_keys(lines: DataFrame, within: list[str], page: str, text: str) -> DataFrame:
-    """Keys of lines found on at least max(3, a quarter) of a group's pages; partial counts before any join."""
-    pages = lines.groupBy(*within).agg(F.countDistinct(page).alias("pages"))
-    keyed = lines.select(*within, page, repeat_key(F.col(text)).alias("key")).where("key <> ''")
-    on = keyed.groupBy(*within, "key").agg(F.countDistinct(page).alias("on_pages"))
-    return on.join(pages, within).where("on_pages >= greatest(3, floor(pages * 0.25))")
-
 
 def body_size(lines: DataFrame, within: list[str], size: str, weight: str) -> DataFrame:
     """The size that carries most weight in each group; the smallest of equals."""

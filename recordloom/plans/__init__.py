@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from . import run_queries  # noqa: F401  (registers its queries)
+from . import rule_queries, run_queries  # noqa: F401  (they register their queries)
 from .queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

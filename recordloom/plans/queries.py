@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import documents as d
+from ..operators import layout
 from ..operators import records as r
 from ..sources.tables import lines, table, unique_uploads
 
@@ -21,18 +22,18 @@ def query(sql):
     return add
 
 
-@query(f"""WITH {_LINES}, k AS (SELECT l.doc_id, source, {_FOLD.format('l.text')} AS f FROM l JOIN documents USING (doc_id)),
-x AS (SELECT doc_id, source, CASE WHEN contains(f, 'page') OR length(f) <= 12 THEN regexp_replace(f, '[0-9]+', '#', 'g') ELSE f END AS key FROM k),
-p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM x GROUP BY 1)
-SELECT source, key, count(DISTINCT doc_id) AS on_pages, any_value(pages) AS pages FROM x JOIN p USING (source) WHERE key <> '' GROUP BY 1, 2
-HAVING count(DISTINCT doc_id) >= greatest(3, floor(any_value(pages) * 0.01))""")
+_KEY = "CASE WHEN regexp_matches(lower({0}), '(^|[^\\p{{L}}\\p{{N}}_])page([^\\p{{L}}\\p{{N}}_]|$)') OR length(lower({0})) <= 12 THEN regexp_replace(lower({0}), '[0-9]+', '#', 'g') ELSE lower({0}) END"
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT doc_id, idx, idx // 10 AS page, {_KEY.format('text')} AS key FROM l),
+n AS (SELECT doc_id, count(DISTINCT page) AS pages FROM p GROUP BY 1), b AS (SELECT * FROM p WHERE idx % 10 IN (0, 1, 8, 9)),
+o AS (SELECT doc_id, key FROM b JOIN n USING (doc_id) GROUP BY 1, 2 HAVING count(DISTINCT page) >= greatest(3, floor(any_value(pages) * 0.25)))
+SELECT doc_id, CAST(page AS BIGINT) AS page, CAST(idx AS INTEGER) AS idx FROM b LEFT JOIN (SELECT *, 1 AS f FROM o) USING (doc_id, key)
+WHERE f IS NOT NULL OR regexp_matches(key, '^((document\\s+)?page\\s*)?#{{1,4}}(\\s*(of|/)\\s*#{{1,4}})?$|^-\\s*#{{1,4}}\\s*-$')""")
 def d3_running_lines(spark, sf):
-    """Lines that run through a source, a document standing for a page; a share of 1 % as sources are large."""
-    docs = table(spark, sf, "documents")
-    each = lines(docs).join(docs.select("doc_id", "source"), "doc_id").select("source", "doc_id", fx.repeat_key(F.col("text")).alias("key"))
-    pages = each.groupBy("source").agg(F.countDistinct("doc_id").alias("pages"))
-    on = each.where("key <> ''").groupBy("source", "key").agg(F.countDistinct("doc_id").alias("on_pages"))
-    return on.join(pages, "source").where("on_pages >= greatest(3, floor(pages * 0.01))")
+    """Running lines of each document: pages of ten lines, whose first and last two are the bands."""
+    each = lines(table(spark, sf, "documents"))
+    return layout.running_lines(each, ["doc_id"], "page", "text", (F.col("idx") % 10).isin(0, 1, 8, 9)).select("doc_id", "page", "idx")
 
 
 @query("""SELECT l_suppkey, arg_max(l_linenumber, (w, -l_linenumber)) AS body_size FROM

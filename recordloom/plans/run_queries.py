@@ -114,15 +114,15 @@ def o4_flagged(spark, sf):
     return table(spark, sf, "documents").rollup("source", "lang").agg(F.count("*").alias("sections"), flagged)
 
 
-@query("""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[,''"\\r\\n ]+', ' ', 'g')) AS p, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS f FROM documents)
-SELECT doc_id, coalesce(nullif(trim(substring(p, 1, 60)), ''), 'item') AS safe, CASE WHEN length(f) > 80 THEN substring(f, 1, 79) || '…' ELSE f END AS shown FROM t""")
+@query("""WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[,;''"\\r\\n\\t]', ' ', 'g'), '[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}]+', ' ', 'g')) AS p, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS f FROM documents)
+SELECT doc_id, coalesce(nullif(rtrim(substring(p, 1, 60)), ''), 'item') AS safe, CASE WHEN length(f) > 80 THEN substring(f, 1, 79) || '…' ELSE f END AS shown FROM t""")
 def f8_f23_names(spark, sf):
     return table(spark, sf, "documents").select("doc_id", fx.safe_name(F.col("text")).alias("safe"), fx.display_cell(F.col("text")).alias("shown"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents)
-SELECT doc_id, count(*) AS titles FROM l WHERE regexp_matches(text, '[A-Za-z].*[A-Za-z]') AND length(text) <= 160
-AND len(string_split(trim(lower(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), ' ')) <= 22 AND regexp_matches(text, '^[A-Z0-9]') AND NOT regexp_matches(text, '[.;,]$') GROUP BY 1""")
+SELECT doc_id, count(*) AS titles FROM l WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 2 AND length(text) <= 160
+AND len(string_split(trim(lower(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), ' ')) <= 22 AND regexp_matches(text, '^([0-9]|\\P{L}*\\p{Lu})') AND NOT regexp_matches(text, '[,;]$|\\.\\s*$') GROUP BY 1""")
 def f24_titles(spark, sf):
     each = lines(table(spark, sf, "documents")).where(fx.plausible_title(F.col("text")))
     return each.groupBy("doc_id").agg(F.count("*").alias("titles"))

@@ -16,7 +16,7 @@ def plain(value):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
     for t in NAMES:
