@@ -76,7 +76,7 @@ LEADERS = 3
 
 def linked(
     buckets: DataFrame, nodes: DataFrame, content_of: Callable[[DataFrame], DataFrame], percent: int,
-    near: str = "true", looked_at: list[str] | None = None, alike: Callable[[DataFrame], DataFrame] | None = None, given: DataFrame | None = None, rounds: int = 2, narrow: bool = True,
+    near: str = "true", looked_at: list[str] | None = None, alike: Callable[[DataFrame], DataFrame] | None = None, given: DataFrame | None = None, rounds: int = 2, sets_of: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Components (node, component) of the links among nodes that share a bucket.
 
@@ -87,8 +87,8 @@ def linked(
 
     Every node meets only two of each of its buckets, picked by one of LEADERS hashes, so a bucket of any size
     gives twice as many pairs as it has members, and the buckets of a large group have some leaders in common. Only buckets that still hold nodes
-    of different components go on: with `narrow`, bounds from their whole sets (`shared_elements`) leave out
-    members that can have no link, and each meets up to `rounds` times two other leaders, for as long as that finds links. What
+    of different components go on: bounds from their whole sets (of sets_of, or the contents) leave out members
+    that can have no link, and each meets up to `rounds` times two other leaders, for as long as that finds links. What
     then still shares a bucket without a common component is paired in full, as far as the bounds let it.
     Copies and near copies have merged by then, so a large group is not paired with itself.
     """
@@ -129,9 +129,9 @@ def linked(
         rest = open_members()
         if rest.isEmpty():
             return found
-        if narrow and not salt:
+        if not salt:
             members = nodes.join(small(saved(rest.select("node").distinct())), "node", "left_semi")
-            sets = saved(content_of(members).toDF("node", "set"))
+            sets = saved((sets_of or content_of)(members).toDF("node", "set"))
             rest, also = _narrowed(rest, sets, percent)
             freed(sets)
             near = f"{near} and {also}"
