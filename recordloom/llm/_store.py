@@ -22,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir; a local one only where that is unset, as in tests."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if spark.sparkContext.master.startswith(("local-cluster", "spark:", "yarn", "k8s:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="recordloom-"))
         base = _LOCAL[0]
