@@ -60,7 +60,7 @@ def best_pairs(pairs: DataFrame, unit: list[str]) -> DataFrame:
     """
     spark, kept, rest = pairs.sparkSession, None, pairs
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and spark.sparkContext.master.startswith("local["):
+    if not base and not spark.sparkContext.master.startswith(("local-cluster", "spark:", "yarn", "k8s:")):
         base = tempfile.mkdtemp(prefix="recordloom-")
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
