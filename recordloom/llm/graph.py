@@ -9,34 +9,35 @@ from ._store import FEW, freed, saved, small
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (the smallest node reachable) of every node of the edges (a, b), by hooking and shortcuts.
-
-    Every node points to a smaller one, at first to its smallest neighbour. In each round a node's neighbours
-    tell where their pointers lead in two steps; the node and what it points to take the smallest of these,
-    until nothing changes: about as many rounds as the logarithm of the longest path. Only minima of partial
-    aggregates are joined back, so a hub costs no more than its edges. Loops and repeated edges do no harm.
+    """node and component (the smallest node reachable) of every node of the edges (a, b), by contraction.
+
+    In each round every node takes the first node within two steps, in a hashed order that changes with the
+    round, and then what that one has taken; edges go between what their ends have taken, and those that have
+    become loops go away. A star collapses in one round and a path shrinks by a factor, so there are about as
+    many rounds as the logarithm of the longest path, and all but the first work on what is left of the edges.
+    Nodes are met by minima of partial aggregates, so a hub costs no more than its edges. Loops and repeated
+    edges do no harm.
     """
-    pairs = edges.where("a <> b").select("a", "b")
-    both = saved(pairs.union(pairs.select("b", "a")).toDF("u", "v"))
-    few = both.count()
-
-    def jumped(now: DataFrame) -> DataFrame:
-        to = now.select(F.col("node").alias("f"), F.col("f").alias("g"))
-        out = saved(now.join(small(to, few), "f").select("node", "f", "g"))
-        freed(now)
-        return out
-
-    state = jumped(saved(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("f"))))
-    before = None
-    while True:
-        now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "g"))).first()
-        if now == before:
-            return state.select("node", F.col("g").alias("component"))
-        before = now
-        near = both.join(small(state.select(F.col("node").alias("v"), "g"), few), "v").groupBy("u").agg(F.min("g").alias("m"))
-        told = state.join(small(near.withColumnRenamed("u", "node"), few), "node")
-        moves = F.array(F.struct("node", F.least("f", "g", "m").alias("f")), F.struct(F.col("f").alias("node"), F.least("f", "m").alias("f")))
-        state = jumped(saved(told.select(F.explode(moves).alias("x")).groupBy("x.node").agg(F.min("x.f").alias("f"))))
+    left = saved(edges.where("a <> b").select("a", "b").distinct())
+    taken = []
+    while few := left.count():
+        both = left.union(left.select("b", "a")).toDF("u", "v")
+        order = [F.struct(F.xxhash64(F.lit(len(taken)), x).alias("h"), F.col(x).alias("x")) for x in ("u", "v")]
+        one = both.groupBy("u").agg(F.min(order[1]).alias("first")).select(F.col("u").alias("v"), F.least("first", order[0]).alias("first"))
+        two = both.join(small(saved(one), 2 * few), "v").groupBy("u").agg(F.min("first").alias("first"))
+        two = saved(two.select(F.col("u").alias("node"), F.col("first.x").alias("x")))
+        then = two.select(F.col("node").alias("x"), F.col("x").alias("to"))
+        to = saved(two.join(small(then, 2 * few), "x").select("node", "to"))
+        taken.append(to)
+        for end in ("a", "b"):
+            left = left.join(small(to.withColumnRenamed("node", end), 2 * few), end).drop(end).withColumnRenamed("to", end)
+        left = saved(left.where("a <> b").select("a", "b").distinct())
+    out = taken.pop() if taken else left.toDF("node", "to")
+    while taken:
+        last = out.select(F.col("node").alias("to"), F.col("to").alias("last"))
+        out = saved(taken.pop().join(small(last, out.count()), "to", "left").select("node", F.coalesce("last", "to").alias("to")))
+    least = saved(out.groupBy("to").agg(F.min("node").alias("component")))
+    return saved(out.join(small(least), "to").select("node", "component"))
 
 
 def with_components(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -95,7 +96,6 @@ def linked(
     keys = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     rest = buckets.join(small(saved(keys)), "key").withColumn("component", F.col("node"))
     rest = saved(rest.join(nodes.select("node", *looked_at), "node") if looked_at else rest)
-    links = given.select("a", "b") if given is not None else rest.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     found = None
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -111,9 +111,16 @@ def linked(
         return links
 
     def merged(more: DataFrame) -> DataFrame:
-        nonlocal links
-        links = links.union(more)
-        return components(links)
+        """Components after more links, which go between the components found so far."""
+        if found is None:
+            return components(more)
+        for end in ("a", "b"):
+            now = found.select(F.col("node").alias(end), "component")
+            more = more.join(small(now, found.count()), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+        wider = components(more)
+        every = found.union(wider.select("node", "node")).distinct()
+        last = wider.select(F.col("node").alias("component"), F.col("component").alias("last"))
+        return saved(every.join(small(last, wider.count()), "component", "left").select("node", F.coalesce("last", "component").alias("component")))
 
     def open_members() -> DataFrame:
         """Members of the buckets that hold more than one component."""
@@ -125,7 +132,7 @@ def linked(
         more = confirmed(_met(rest, near, salt))
         if salt and more.isEmpty():
             break
-        found = merged(more)
+        found = merged(more if salt or given is None else more.union(given.select("a", "b")))
         rest = open_members()
         if rest.isEmpty():
             return found
