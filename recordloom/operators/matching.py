@@ -129,15 +129,6 @@ def candidates(phrases: DataFrame, scope: str, phrase: str, terms: DataFrame, co
     return placed.withColumn("status", F.when(F.max("score").over(Window.partitionBy(scope, phrase)) >= 80, "fuzzy").otherwise("unresolved"))
 
 
-def quotes_found(quotes: DataFrame, sections: DataFrame, doc: str, quote: str, text: str, section: str) -> DataFrame:
-    """Each quote's first section of its document that holds it between word borders, white space and case folded, and where (from 1)."""
-    need, hay = folded(F.col(quote)), folded(F.col(text))
-    both = quotes.where(need != "").join(sections.select(doc, section, text), doc)
-    bounded = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.replace(need, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}_])"))
-    found = both.where(F.contains(hay, need)).withColumn("at", F.regexp_instr(hay, bounded)).where("at > 0")
-    return found.groupBy(*quotes.columns).agg(F.min(F.struct(section, "at")).alias("_f")).select(*quotes.columns, F.col(f"_f.{section}").alias("found_in"), "_f.at")
-
-
 def joined_confidence(cells: DataFrame, by: list[str], confidence: str, verified: str, judged: Column) -> DataFrame:
     """A cell made of several values: the least confidence, 0.8 at most where any was judged, verified if all are."""
     least = F.least(F.min(confidence), F.when(F.max(judged), 0.8).otherwise(1.0))

@@ -350,12 +350,6 @@ def m7_coverage(spark, sf):
     return matching.coverage(docs, "doc", items, "node", assigned, "confidence", "l_orderkey").select("doc", "node", "state")
 
 
-def q2_quotes_found(spark, sf):
-    """Quotes of every turn's beginning, looked for in the turns of its conversation; each is in its own turn at the latest."""
-    rows = table(spark, sf, "conversations")
-    quotes = rows.select("conv_id", "turn", F.regexp_extract("text", r"^\s*((?:\S+\s+){4}\S+)", 1).alias("quote")).where("quote <> ''")
-    sections = rows.select("conv_id", F.col("turn").alias("section"), "text")
-    return matching.quotes_found(quotes, sections, "conv_id", "quote", "text", "section")
 
 
 @query("""SELECT l_orderkey, CASE WHEN bool_or(l_partkey % 9 = 0) THEN least(min(l_discount * 10), 0.8) ELSE least(min(l_discount * 10), 1.0) END AS confidence, bool_and(l_suppkey % 5 > 0) AS verified FROM lineitem GROUP BY 1""")
@@ -395,4 +389,4 @@ def f1_clean_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(v.clean_text(F.col("text"))).alias("clean"))
 
 
-QUERIES |= {f.__name__: f for f in (q2_quotes_found, l2_revisions, e6_best_pairs, c2_candidates, e2_text_scores, f1_clean_text)}
+QUERIES |= {f.__name__: f for f in (l2_revisions, e6_best_pairs, c2_candidates, e2_text_scores, f1_clean_text)}

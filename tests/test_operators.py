@@ -33,14 +33,6 @@ def test_noise_contents_and_grids(spark):
     assert layout.captions(tables, lines, ["doc", "page"], "id", "y", "y1", "text").first().caption == "Table 2 Near"
 
 
-def test_quotes_keep_to_word_borders(spark):
-    sections = spark.createDataFrame([("d", "4.1", "Inclusion: Female aged 18 years or older.\nHR-positive, HER2-negative  breast cancer")], "doc string, section string, text string")
-    quotes = ["Female aged 18 years or older.", "HR-positive, her2-negative   breast cancer", "Male aged 18 years", "", "aged 1"]
-    df = spark.createDataFrame([("d", q) for q in quotes], "doc string, quote string")
-    got = {r.quote: r.found_in for r in matching.quotes_found(df, sections, "doc", "quote", "text", "section").collect()}
-    assert got == {quotes[0]: "4.1", quotes[1]: "4.1"}
-
-
 def test_best_pairs_equal_picking_one_by_one(spark):
     rng = random.Random(3)
     rows = [(u, i, j, rng.randrange(6) / 10) for u in range(4) for i in range(7) for j in range(6)]
