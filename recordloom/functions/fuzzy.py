@@ -1,5 +1,6 @@
 """String ratios on 0 to 100, for distinct pairs that blocking and equality have left over."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,58 @@ def plain_token_set(a: str, b: str) -> float:
     return max(plain_ratio(left, right), *((plain_ratio(both, left), plain_ratio(both, right)) if both else (0.0,)))
 
 
+def best_window(needle: str, hay: str, least: float) -> tuple[int, int, float] | None:
+    """Begin, end and score of the stretch of hay, at most as long as needle, that is most like it; the first of equals, none below `least`.
+
+    The score is 200 times the longest common subsequence over both lengths. The characters that a stretch shares with needle,
+    in any order, bound it; stretches are tried by that bound, so that few of a long text are compared.
+    """
+    if len(hay) < len(needle):
+        turned = best_window(hay, needle, least) if hay else None
+        return turned and (0, len(hay), turned[2])
+    m, n = len(needle), len(hay)
+    text = np.frombuffer(hay.encode("utf-32-le"), np.uint32)
+    begin = np.concatenate([np.zeros(m - 1, np.int64), np.arange(n - m + 1), np.arange(n - m + 1, n)])
+    end = np.concatenate([np.arange(1, m), np.arange(m, n + 1), np.full(m - 1, n)])
+    shared = np.zeros(len(begin), np.int64)
+    for c in set(needle):
+        seen = np.concatenate(([0], np.cumsum(text == ord(c))))
+        shared += np.minimum(seen[end] - seen[begin], needle.count(c))
+    bound = 200 * shared / (m + end - begin)
+    some = np.flatnonzero(bound >= least)
+    best = None
+    for k in some[np.argsort(-bound[some], kind="stable")]:
+        if best and bound[k] < best[0]:
+            break
+        score = 200 * common(needle, hay[begin[k] : end[k]]) / (m + end[k] - begin[k])
+        if score >= least and (best is None or (score, -k) > (best[0], -best[1])):
+            best = (score, int(k))
+    return best and (int(begin[best[1]]), int(end[best[1]]), float(best[0]))
+
+
+def plain_partial(a: str, b: str) -> float:
+    """Best ratio of the shorter text with a stretch of the longer one; 100 for two empty texts, 0 for one."""
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    short, long = sorted((a, b), key=len)
+    found = [best_window(short, long, 0.0), best_window(long, short, 0.0) if len(a) == len(b) else None]
+    return max(x[2] for x in found if x)
+
+
+def plain_weighted(a: str, b: str) -> float:
+    """The ratio, or a little less for agreement of sorted words, of word sets, and, for texts of unlike lengths, of parts."""
+    if not a or not b:
+        return 0.0
+    unlike = max(len(a), len(b)) / min(len(a), len(b))
+    whole = plain_ratio(a, b)
+    if unlike < 1.5:
+        return max(whole, 0.95 * max(plain_token_sort(a, b), plain_token_set(a, b)))
+    scale = 0.9 if unlike <= 8 else 0.6
+    x, y = set(a.split()), set(b.split())
+    words = 100.0 if x & y else max(plain_partial(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), plain_partial(" ".join(sorted(x - y)), " ".join(sorted(y - x))))
+    return max(whole, scale * plain_partial(a, b), 0.95 * scale * words)
+
+
 def _udf(rule):
     @F.pandas_udf(T.DoubleType())
     def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -45,5 +98,6 @@ def _udf(rule):
     return ratios
 
 
+partial_ratio, weighted_ratio = _udf(plain_partial), _udf(plain_weighted)
 #: 200 * common subsequence / summed lengths; the same after sorting words; and on sets of words. Null if a side is.
 ratio, token_sort_ratio, token_set_ratio = _udf(plain_ratio), _udf(plain_token_sort), _udf(plain_token_set)

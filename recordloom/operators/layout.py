@@ -38,16 +38,6 @@ def contents_pages(lines: DataFrame, within: list[str], text: str, nth: str) ->
     return counts.where("leaders >= 5 or (titled = 1 and leaders >= 2) or leaders >= 0.4 * n").select(*within, "leaders", "n")
 
 
-def without_continuations(headings: DataFrame, within: list[str], order: list[str], title: str, page: str) -> DataFrame:
-    """Headings but those that repeat the one before on the same or the next page.
-
-    A run of equal titles, each at most a page after the one before, collapses into its first.
-    """
-    w = Window.partitionBy(*within).orderBy(*order)
-    again = F.lag(title).over(w).eqNullSafe(F.col(title)) & (F.col(page) - F.lag(page).over(w) <= 1)
-    return headings.withColumn("_again", F.coalesce(again, F.lit(False))).where("not _again").drop("_again")
-
-
 def section_texts(lines: DataFrame, section: list[str], order: list[str], page: str, text: str) -> DataFrame:
     """Text and page range of every section: its lines in order, [[PAGE n]] before the first and at each change of page."""
     w = Window.partitionBy(*section).orderBy(*order)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.fuzzy import common
+from ..functions.fuzzy import best_window
 from ..session import importable, saved
 
 # Markers in section texts; numbers and negations, in which a quote and its place must agree; bounds of a near match
@@ -82,35 +82,6 @@ def find_compact(needle: str, hay: str) -> int:
     return -1
 
 
-def best_window(needle: str, hay: str, least: float) -> tuple[int, int, float] | None:
-    """Begin, end and score of the stretch of hay, at most as long as needle, that is most like it; the first of equals, none below `least`.
-
-    The score is 200 times the longest common subsequence over both lengths. The characters that a stretch shares with needle,
-    in any order, bound it; stretches are tried by that bound, so that few of a long text are compared.
-    """
-    if len(hay) < len(needle):
-        turned = best_window(hay, needle, least) if hay else None
-        return turned and (0, len(hay), turned[2])
-    m, n = len(needle), len(hay)
-    text = np.frombuffer(hay.encode("utf-32-le"), np.uint32)
-    begin = np.concatenate([np.zeros(m - 1, np.int64), np.arange(n - m + 1), np.arange(n - m + 1, n)])
-    end = np.concatenate([np.arange(1, m), np.arange(m, n + 1), np.full(m - 1, n)])
-    shared = np.zeros(len(begin), np.int64)
-    for c in set(needle):
-        seen = np.concatenate(([0], np.cumsum(text == ord(c))))
-        shared += np.minimum(seen[end] - seen[begin], needle.count(c))
-    bound = 200 * shared / (m + end - begin)
-    some = np.flatnonzero(bound >= least)
-    best = None
-    for k in some[np.argsort(-bound[some], kind="stable")]:
-        if best and bound[k] < best[0]:
-            break
-        score = 200 * common(needle, hay[begin[k] : end[k]]) / (m + end[k] - begin[k])
-        if score >= least and (best is None or (score, -k) > (best[0], -best[1])):
-            best = (score, int(k))
-    return best and (int(begin[best[1]]), int(end[best[1]]), float(best[0]))
-
-
 def find_near(needle: str, hay: str) -> int:
     """Begin of the best stretch for long quotes, if it begins a word and has the quote's numbers and negations; -1: none."""
     if len(needle) < NEAR_LENGTH:

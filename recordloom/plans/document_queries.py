@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import quotes
+from ..operators import headings, quotes
 from ..sources.tables import table
 from .queries import QUERIES, query
 
@@ -103,4 +103,98 @@ def q8_flat_provenance(spark, sf):
     return rows.select("o_orderkey", "field", "value", "confidence", "verified", F.array_join("reasons", "; ").alias("reasons"))
 
 
-QUERIES |= {"q5_provenance": q5_provenance}
+@query("""WITH RECURSIVE r AS (SELECT user_id, event_id, event_type, event_id // 40 AS page, CASE WHEN event_id % 9 = 0 THEN '1' END AS number, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f AS (SELECT *, true AS kept, page AS p, event_type AS t FROM r WHERE n = 1
+UNION ALL SELECT user_id, event_id, event_type, page, number, n, NOT again, CASE WHEN again THEN p ELSE page END, CASE WHEN again THEN t ELSE event_type END FROM (SELECT r.*, f.p, f.t, r.number IS NULL AND r.page IN (f.p, f.p + 1) AND r.event_type = f.t AS again FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1) r)
+SELECT user_id, event_id, event_type FROM f WHERE kept""")
+def d12_headings_once(spark, sf):
+    rows = table(spark, sf, "events").withColumns({"page": F.floor(F.col("event_id") / 40), "number": F.when(F.col("event_id") % 9 == 0, "1")})
+    return headings.without_continuations(rows, ["user_id"], ["event_id"], "event_type", "page", "number").select("user_id", "event_id", "event_type")
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_partkey % 40 * 2.5 AS x0, l_suppkey % 9 * 4.0 + l_linenumber % 3 AS y0, 4.0 + l_partkey % 3 AS h, CAST(l_partkey AS VARCHAR) AS text, CAST(l_quantity AS DOUBLE) AS size, l_suppkey % 2 AS bold FROM lineitem),
+g AS (SELECT *, row_number() OVER w AS spot, lag(y0) OVER w AS py, lag(y0 + h) OVER w AS pz, lag(h) OVER w AS ph FROM f WINDOW w AS (PARTITION BY l_orderkey ORDER BY round_even(y0, 0), x0, y0, x0 + 8, text)),
+k AS (SELECT *, sum(CASE WHEN py IS NOT NULL AND least(y0 + h, pz) - greatest(y0, py) >= 0.6 * least(h, ph) THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY spot) - 1 AS idx FROM g)
+SELECT l_orderkey, CAST(idx AS BIGINT) AS idx, string_agg(text, ' ' ORDER BY x0, spot) AS text, CAST(min(x0) AS DOUBLE) AS x0, CAST(min(y0) AS DOUBLE) AS y0, CAST(max(x0 + 8) AS DOUBLE) AS x1, CAST(max(y0 + h) AS DOUBLE) AS y1,
+round(sum(size * length(text)) / sum(length(text)), 2) AS size, sum(bold * length(text)) / sum(length(text)) >= 0.6 AS bold FROM k GROUP BY 1, idx""")
+def d1_visual_rows(spark, sf):
+    """Lines of an order as fragments of a page."""
+    x0, y0 = F.col("l_partkey") % 40 * 2.5, F.col("l_suppkey") % 9 * 4.0 + F.col("l_linenumber") % 3
+    columns = [x0.alias("x0"), y0.alias("y0"), (x0 + 8).alias("x1"), (y0 + 4.0 + F.col("l_partkey") % 3).alias("y1"), F.col("l_partkey").cast("string").alias("text"), F.col("l_quantity").cast("double").alias("size"), (F.col("l_suppkey") % 2).cast("double").alias("bold")]
+    return headings.visual_rows(table(spark, sf, "lineitem").select("l_orderkey", *columns), ["l_orderkey"])
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey % 50 = l_suppkey % 50
+AND l_partkey % 500 + 5.0 BETWEEN o_orderkey % 450 - 2 AND o_orderkey % 450 + 62 AND l_quantity * 10 + 5 BETWEEN o_orderkey % 430 - 2 AND o_orderkey % 430 + 82)""")
+def d6_outside_tables(spark, sf):
+    """Lines of orders on fifty pages, and orders as their tables."""
+    lines = table(spark, sf, "lineitem").withColumns({"page": F.col("l_suppkey") % 50, "x0": F.col("l_partkey") % 500 + 0.0, "x1": F.col("l_partkey") % 500 + 10.0, "y0": F.col("l_quantity") * 10.0, "y1": F.col("l_quantity") * 10.0 + 10})
+    areas = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("page"), *((F.col("o_orderkey") % m + d).cast("double").alias(c) for c, m, d in (("x0", 450, 0), ("x1", 450, 60), ("y0", 430, 0), ("y1", 430, 80))))
+    return headings.outside_tables(lines, ["page"], areas).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def _headed(spark, sf):
+    """Lines of documents as pages of ten, some of them bold, large, numbered, or beginnings of appendices."""
+    each = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    kind = F.length("line") % 5
+    text = F.when(kind == 0, F.concat((F.col("at") % 33).cast("string"), F.lit("."), (F.length("line") % 4).cast("string"), F.lit(". "), F.substring("line", 1, 60))).when(kind == 1, F.concat(F.lit("Appendix "), (F.col("at") % 7).cast("string"), F.lit(": "), F.substring("line", 1, 20))).otherwise(F.substring("line", 1, 70))
+    page, idx = F.floor(F.col("at") / 10) + 1, F.col("at") % 10
+    columns = {"page": page, "idx": idx, "text": text, "x0": F.lit(72.0), "x1": 72.0 + 5 * F.length(text), "y0": idx * 12.0, "y1": idx * 12.0 + 10, "size": 10.0 + F.length("line") % 3, "bold": F.col("at") % 3 != 1, "body": F.lit(10.0), "edge": F.lit(420.0), "width": F.lit(600.0)}
+    return each.withColumns(columns).drop("at", "line")
+
+
+_NUM = r"^(\d{1,2}(?:\.\d{1,3}){0,5})\.?[\t\n\x0B\f\r ]+([^\t\n\x0B\f\r ].*)$"
+_HEADED = """e AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS spot FROM documents),
+t AS (SELECT doc_id, spot // 10 + 1 AS page, spot % 10 AS idx, CASE length(line) % 5 WHEN 0 THEN (spot % 33) || '.' || (length(line) % 4) || '. ' || line[:60] WHEN 1 THEN 'Appendix ' || (spot % 7) || ': ' || line[:20] ELSE line[:70] END AS text, 10 + length(line) % 3 AS size, spot % 3 <> 1 AS bold FROM e),
+s AS (SELECT *, 72 + 5 * length(text) >= 420 - 0.18 * 348 AS wide, lead(text) OVER w AS t1, lead(size) OVER w AS s1, lead(bold) OVER w AS b1, lead(text, 2) OVER w AS t2, lead(size, 2) OVER w AS s2, lead(bold, 2) OVER w AS b2 FROM t WINDOW w AS (PARTITION BY doc_id, page ORDER BY idx)),
+c AS (SELECT *, coalesce(wide AND b1 = bold AND s1 = size AND NOT regexp_matches(t1, '{0}'), false) AS one FROM s),
+d AS (SELECT *, coalesce(one AND 72 + 5 * length(t1) >= 420 - 0.18 * 348 AND b2 = bold AND s2 = size AND NOT regexp_matches(t2, '{0}'), false) AS two FROM c)"""
+
+
+@query(f"""WITH {_HEADED.format(_NUM)}, n AS (SELECT *, regexp_extract(text, '{_NUM}', 1) AS num, trim(regexp_extract(text, '{_NUM}', 2)) || CASE WHEN one THEN ' ' || t1 ELSE '' END || CASE WHEN two THEN ' ' || t2 ELSE '' END AS title FROM d WHERE regexp_matches(text, '{_NUM}') AND (bold OR size >= 11.5))
+SELECT doc_id, CAST(page AS BIGINT) AS page, CAST(idx AS INTEGER) AS idx, title, array_to_string(list_transform(string_split(num, '.'), lambda x: CAST(CAST(x AS INTEGER) AS VARCHAR)), '.') AS number, len(string_split(num, '.')) AS level,
+CAST(1.0 + CASE WHEN size >= 11.5 THEN 1 ELSE 0 END + CASE WHEN bold THEN 0.5 ELSE 0 END AS DOUBLE) AS weight
+FROM n WHERE CAST(string_split(num, '.')[1] AS INTEGER) BETWEEN 1 AND 30 AND regexp_matches(title, '[A-Za-z][^A-Za-z]*[A-Za-z]') AND length(title) <= 160 AND len(string_split(trim(regexp_replace(title, '\\s+', ' ', 'g')), ' ')) <= 22
+AND regexp_matches(title, '^([0-9]|\\P{{L}}*\\p{{Lu}})') AND NOT regexp_matches(title, '[,;]$|\\.\\s*$')""")
+def d8_numbered_candidates(spark, sf):
+    found = headings.numbered_candidates(_headed(spark, sf), "doc_id", "page")
+    return found.select("doc_id", "page", "idx", "title", "number", F.col("level").cast("long").alias("level"), "weight")
+
+
+def d10_outline_chain(spark, sf):
+    """Lines of suppliers in the order of their orders, as numbered headings; tests hold the chain against all subsequences."""
+    number = F.concat_ws(".", (F.col("l_orderkey") % 9 + 1).cast("string"), F.when(F.col("l_linenumber") > 2, (F.col("l_partkey") % 3 + 1).cast("string")))
+    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", number.alias("number"), (1.0 + F.col("l_partkey") % 3 / 2).alias("weight"))
+    return headings.outline_chain(rows.dropDuplicates(["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"]), "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+def d11_detected(spark, sf):
+    """Headings of all documents; pages with at least three leaders count as contents."""
+    lines = _headed(spark, sf)
+    contents = lines.where("page > 1 and page % 7 = 0").select("doc_id", "page").distinct()
+    return headings.detected(lines, "doc_id", "page", "width", contents)[0]
+
+
+@query("""WITH h AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 4 + 1 || '.' || o_orderkey % 2 END AS number, CASE WHEN o_orderkey % 2 = 0 THEN 'appendix' ELSE 'front' END AS kind, o_orderpriority AS title FROM orders),
+b AS (SELECT *, CASE WHEN number IS NOT NULL THEN 'sec-' || number WHEN kind = 'appendix' THEN 'app-' ELSE 'fm-' END || CASE WHEN number IS NULL THEN replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ', '-') ELSE '' END AS base FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, base ORDER BY o_orderkey) AS k FROM b)
+SELECT o_custkey, o_orderkey, base || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS section_id FROM n""")
+def d15_section_ids(spark, sf):
+    number = F.when(F.col("o_orderkey") % 3 > 0, F.concat((F.col("o_orderkey") % 4 + 1).cast("string"), F.lit("."), (F.col("o_orderkey") % 2).cast("string")))
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", number.alias("number"), F.when(F.col("o_orderkey") % 2 == 0, "appendix").otherwise("front").alias("kind"), F.col("o_orderpriority").alias("title"))
+    return headings.section_ids(rows, "o_custkey", ["o_orderkey"]).select("o_custkey", "o_orderkey", "section_id")
+
+
+def d13_reconciled(spark, sf):
+    """Every third detected heading of the documents as a bookmark, cut, moved by a page or renamed, and some that are no heading."""
+    lines = _headed(spark, sf)
+    found = headings.detected(lines, "doc_id", "page", "width", lines.where("page > 1 and page % 7 = 0").select("doc_id", "page").distinct())[0]
+    found = found.withColumn("pos", F.col("page") * 100 + F.col("idx"))
+    title = F.concat_ws(" ", "number", F.when(F.col("pos") % 2 == 0, F.substring("title", 1, 12)).otherwise(F.col("title")))
+    marks = found.where("pos % 3 > 0").select("doc_id", "pos", title.alias("title"), (F.col("page") + F.col("idx") % 4 - 1).alias("page"))
+    extra = lines.where("idx = 5").select("doc_id", (F.col("page") * 100 + 50).alias("pos"), F.when(F.col("page") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("Table "), "page")).alias("title"), "page")
+    pages = lines.groupBy("doc_id").agg(F.max("page").alias("n_pages"))
+    return headings.reconciled(marks.unionByName(extra), found, lines, pages, "doc_id", "page")
+
+
+QUERIES |= {f.__name__: f for f in (q5_provenance, d10_outline_chain, d11_detected, d13_reconciled)}

@@ -98,13 +98,6 @@ def d5_contents_pages(spark, sf):
     return layout.contents_pages(each, ["doc_id", "page"], "text", "nth")
 
 
-@query("""WITH w AS (SELECT *, lag(event_type) OVER w AS before, event_id - lag(event_id) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT user_id, event_id, event_type FROM w WHERE NOT coalesce(before = event_type AND gap <= 100, false)""")
-def d12_headings_once(spark, sf):
-    rows = table(spark, sf, "events").withColumn("page", F.col("event_id") / 100)
-    return layout.without_continuations(rows, ["user_id"], ["event_id"], "event_type", "page").select("user_id", "event_id", "event_type")
-
-
 @query("""WITH e AS (SELECT conv_id, turn, turn // 3 AS page, coalesce(text, '') AS t, lag(turn // 3) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
 SELECT conv_id, min(page) AS page_start, max(page) AS page_end, md5(string_agg(CASE WHEN before IS DISTINCT FROM page THEN '[[PAGE ' || page || ']]' || chr(10) ELSE '' END || t, chr(10) ORDER BY turn)) AS text
 FROM e GROUP BY 1""")

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from recordloom.functions import fuzzy
 from recordloom.operators import quotes
 from recordloom.plans import QUERIES
 
@@ -83,7 +84,7 @@ def test_places_equal_plain_search(needle, hay):
 @given(st.text(st.sampled_from("abcd "), min_size=1, max_size=24), st.text(st.sampled_from("abcd "), max_size=70), st.sampled_from([60.0, 80.0, 90.0]))
 @settings(max_examples=200, deadline=None)
 def test_best_windows_equal_trying_all(needle, hay, least):
-    assert quotes.best_window(needle, hay, least) == plain_window(needle, hay, least)
+    assert fuzzy.best_window(needle, hay, least) == plain_window(needle, hay, least)
 
 
 @given(st.integers(0, 60), st.integers(0, 60), st.sampled_from(["x", "", "no "]))
