@@ -44,7 +44,7 @@ def number_text(text: Column) -> Column:
 
 def items(text: Column) -> Column:
     """Comma-separated items: trimmed, blanks dropped, first of equals kept, in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def display_cell(text: Column, most: int = 80) -> Column:

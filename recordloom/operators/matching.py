@@ -1,35 +1,37 @@
 """Generated records against gold ones: similar pairs, one-to-one alignment, tallies; titles against a taxonomy."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import ratio, token_set_ratio, token_sort_ratio
-from ..functions.text import folded, title_key
+from ..functions.text import folded
 from ..functions.values import normal_text, normal_value
+from ..session import importable, saved
 
 
 def text_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """pairs with `similarity` (how closely two texts agree) and `affinity` (how likely they mean the same), 0 to 1.
 
     Texts that are equal when normalised need no ratio; the others are scored once for each distinct pair.
-    Containment counts nine tenths for affinity; texts whose numbers have nothing in common lose half of it.
+    Containment counts nine tenths for affinity; texts whose numbers have nothing in common lose half of it. Words
+    are runs of letters and digits of any script; texts of marks alone agree with each other. A null text is an empty one.
     """
-    distinct = pairs.select(a, b).distinct().withColumns({"_x": normal_text(F.col(a)), "_y": normal_text(F.col(b))})
-    same = (F.col("_x") == F.col("_y")) | ((F.col("_x") != "") & (normal_value(F.col(a)) == normal_value(F.col(b))))
+    importable(pairs.sparkSession)
+    either = {f"_{c}": F.coalesce(F.col(c), F.lit("")) for c in (a, b)}
+    distinct = pairs.select(*(x.alias(c) for c, x in either.items())).distinct().withColumns({"_x": normal_text(F.col(f"_{a}")), "_y": normal_text(F.col(f"_{b}"))})
+    same = (F.col("_x") == F.col("_y")) | ((F.col("_x") != "") & (normal_value(F.col(f"_{a}")) == normal_value(F.col(f"_{b}"))))
     scored = distinct.withColumn("_same", same)
-    words = [title_key(F.col(c)) for c in ("_x", "_y")]
-    left = scored.where("not _same and _x <> '' and _y <> ''").select(
-        a, b, F.greatest(ratio("_x", "_y"), token_sort_ratio(*words)).alias("_r"), token_set_ratio(*words).alias("_s")
-    )
+    words = [F.trim(F.regexp_replace(F.col(c), r"(?U)[^\w]+", " ")) for c in ("_x", "_y")]
+    ratios = scored.where("not _same and _x <> '' and _y <> ''").withColumns({"_u": words[0], "_v": words[1]})
+    sort = F.when((F.col("_u") != "") | (F.col("_v") != ""), token_sort_ratio("_u", "_v")).otherwise(0.0)
+    left = ratios.select(f"_{a}", f"_{b}", F.greatest(ratio("_x", "_y"), sort).alias("_r"), token_set_ratio("_u", "_v").alias("_s"))
     numbers = [F.regexp_extract_all(F.col(c), F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)) for c in ("_x", "_y")]
     clash = (F.size(numbers[0]) > 0) & (F.size(numbers[1]) > 0) & ~F.arrays_overlap(*numbers)
-    both = scored.join(left, [a, b], "left").withColumn("similarity", F.when(F.col("_same"), 1.0).otherwise(F.coalesce(F.col("_r") / 100, F.lit(0.0))))
+    both = scored.join(left, [f"_{a}", f"_{b}"], "left").withColumn("similarity", F.when(F.col("_same"), 1.0).otherwise(F.coalesce(F.col("_r") / 100, F.lit(0.0))))
     whole = F.greatest("similarity", F.when(F.col("_same"), 0.9).otherwise(0.9 * F.coalesce(F.col("_s") / 100, F.lit(0.0))))
     affinity = F.when((F.col("_x") == "") | (F.col("_y") == ""), 0.0).otherwise(whole * F.when(clash, 0.5).otherwise(1.0))
-    return pairs.join(both.select(a, b, "similarity", affinity.alias("affinity")), [a, b])
+    out = both.select(f"_{a}", f"_{b}", "similarity", affinity.alias("affinity"))
+    return pairs.withColumns(either).join(out, [f"_{a}", f"_{b}"]).drop(f"_{a}", f"_{b}")
 
 
 def row_pairs(gold: DataFrame, made: DataFrame, unit: list[str], pos: str, columns: list[str], floor: float = 0.45) -> DataFrame:
@@ -58,19 +60,12 @@ def best_pairs(pairs: DataFrame, unit: list[str]) -> DataFrame:
     In each round the pairs that are best for both of their rows are kept, and pairs that share a row with
     them go, until none is left. Rounds are written out below spark.checkpoint.dir.
     """
-    spark, kept, rest = pairs.sparkSession, None, pairs
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith(("local-cluster", "spark:", "yarn", "k8s:")):
-        base = tempfile.mkdtemp(prefix="recordloom-")
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    kept, rest = None, pairs
     while True:
         order = [F.desc("score"), "i", "j"]
         nth = [F.row_number().over(Window.partitionBy(*unit, c).orderBy(*order)) for c in ("i", "j")]
         ranked = rest.withColumn("_a", nth[0]).withColumn("_b", nth[1])
-        path = f"{base.rstrip('/')}/pairs/{uuid.uuid4().hex}"
-        ranked.write.parquet(path)
-        ranked = spark.read.schema(ranked.schema).parquet(path)
+        ranked = saved(ranked)
         best = ranked.where("_a = 1 and _b = 1").select(*pairs.columns)
         kept = best if kept is None else kept.union(best)
         rest = ranked.where("_a > 1 or _b > 1").select(*pairs.columns)
@@ -82,7 +77,7 @@ def best_pairs(pairs: DataFrame, unit: list[str]) -> DataFrame:
 def cell_tally(gold: DataFrame, made: DataFrame, pairs: DataFrame, unit: list[str], pos: str, column: str) -> DataFrame:
     """gold, generated, matched and slots of a comma-separated column per unit; unpaired rows are missing or extra.
 
-    Items are compared as sets; a disagreement takes one slot.
+    Items are compared as sets; slots are all items that any of the two sides has.
     """
     split = lambda c: F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: folded(x)), lambda x: x != ""))
     g = gold.select(*unit, F.col(pos).alias("i"), split(F.col(column)).alias("g"))
@@ -91,7 +86,7 @@ def cell_tally(gold: DataFrame, made: DataFrame, pairs: DataFrame, unit: list[st
     empty = F.array().cast("array<string>")
     x, y = F.coalesce("g", empty), F.coalesce("m", empty)
     matched = F.size(F.array_intersect(x, y))
-    counts = both.select(*unit, F.size(x).alias("gold"), F.size(y).alias("generated"), matched.alias("matched"), F.greatest(F.size(x), F.size(y)).alias("slots"))
+    counts = both.select(*unit, F.size(x).alias("gold"), F.size(y).alias("generated"), matched.alias("matched"), F.size(F.array_union(x, y)).alias("slots"))
     return counts.groupBy(*unit).agg(*(F.sum(c).alias(c) for c in ("gold", "generated", "matched", "slots")))
 
 

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import headings, quotes
+from ..operators import headings, quotes, scoring
 from ..sources.tables import table
 from .queries import QUERIES, query
+from .rule_queries import _pairs
 
 _WHITE = r"[\t\n\x0B\f\r \x{85}\p{Z}]+"
 _HAY = f"trim(lower(regexp_replace({{}}, '{_WHITE.replace('{', '{{').replace('}', '}}')}', ' ', 'g')))"
@@ -197,4 +198,74 @@ def d13_reconciled(spark, sf):
     return headings.reconciled(marks.unionByName(extra), found, lines, pages, "doc_id", "page")
 
 
-QUERIES |= {f.__name__: f for f in (q5_provenance, d10_outline_chain, d11_detected, d13_reconciled)}
+#: Orders and their lines as two tables of a study of three orders: names on the generated side are others, every fifth line is lost.
+LAYOUT = [
+    {"unit": "orders", "header": "name", "tier": "identifier", "kind": "order"}, {"unit": "orders", "header": "priority", "tier": "text"},
+    {"unit": "orders", "header": "total", "tier": "value"}, {"unit": "orders", "header": "status", "tier": "code"},
+    {"unit": "lines", "header": "order", "tier": "reference", "kind": "order", "scope": True}, {"unit": "lines", "header": "amount", "tier": "value", "ordered": True}, {"unit": "lines", "header": "parts", "tier": "code", "multi": True},
+]
+
+
+def _book(spark, sf, made):
+    orders = table(spark, sf, "orders")
+    first = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_quantity").cast("int").alias("amount"))
+    study = lambda key: F.floor(F.col(key) / 3).alias("study")
+    name = lambda key: F.concat(F.lit("Gen " if made else "Order "), F.col(key).cast("string"))
+    cells = lambda rows, unit, pos, columns: rows.select("study", F.lit(unit).alias("unit"), pos.alias("pos"), F.explode(F.create_map(*(x for k, v in columns.items() for x in (F.lit(k), v)))).alias("header", "value"))
+    head = orders.select(study("o_orderkey"), "*")
+    a = cells(head, "orders", 2 - F.col("o_orderkey") % 3 if made else F.col("o_orderkey") % 3, {"name": name("o_orderkey"), "priority": F.lower("o_orderpriority") if made else F.col("o_orderpriority"), "total": F.concat(F.floor("o_totalprice").cast("string"), F.lit(" days")), "status": F.col("o_orderstatus")})
+    rows = first.where("l_linenumber % 5 > 0") if made else first
+    parts = F.concat_ws(", ", (F.col("part") % 7).cast("string"), (F.col("part") % 3 if made else F.col("part") % 5).cast("string"))
+    b = cells(rows.select(study("l_orderkey"), "*"), "lines", (F.col("l_orderkey") % 3 * 10 + F.col("l_linenumber")).cast("long"), {"order": name("l_orderkey"), "amount": F.col("amount").cast("string"), "parts": parts})
+    return a.withColumn("pos", F.col("pos").cast("long")).unionByName(b)
+
+
+def _layout(spark):
+    return spark.createDataFrame([(r["unit"], r["header"], r["tier"], bool(r.get("multi")), r.get("kind"), [], bool(r.get("scope"))) for r in LAYOUT], "unit string, header string, tier string, multi boolean, kind string, literals array<string>, scope boolean")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p, CAST(min(l_quantity) AS INTEGER) AS q FROM lineitem GROUP BY 1, 2), c AS (
+SELECT o_orderkey // 3 AS study, 'orders' AS unit, o_orderkey % 3 AS pos, 'name' AS header, 'order ' || o_orderkey AS keys FROM orders
+UNION ALL SELECT o_orderkey // 3, 'orders', o_orderkey % 3, 'priority', lower(o_orderpriority) FROM orders
+UNION ALL SELECT o_orderkey // 3, 'orders', o_orderkey % 3, 'total', floor(o_totalprice)::BIGINT || ' day' FROM orders
+UNION ALL SELECT o_orderkey // 3, 'orders', o_orderkey % 3, 'status', CASE o_orderstatus WHEN 'O' THEN 'open' ELSE lower(o_orderstatus) END FROM orders
+UNION ALL SELECT o // 3, 'lines', o % 3 * 10 + n, 'order', 'order ' || o FROM l UNION ALL SELECT o // 3, 'lines', o % 3 * 10 + n, 'amount', CAST(q AS VARCHAR) FROM l
+UNION ALL SELECT o // 3, 'lines', o % 3 * 10 + n, 'parts', array_to_string(list_sort(list_distinct([CAST(p % 7 AS VARCHAR), CAST(p % 5 AS VARCHAR)])), '|') FROM l)
+SELECT study, unit, CAST(pos AS BIGINT) AS pos, header, keys FROM c""")
+def e1_keys(spark, sf):
+    codes = spark.createDataFrame([("status", "o", "open")], "header string, text string, code string")
+    keyed = scoring.with_keys(scoring.with_layout(_book(spark, sf, False), _layout(spark)), None, codes)
+    return keyed.select("study", "unit", "pos", "header", F.array_join("keys", "|").alias("keys"))
+
+
+def e7_ordered_pairs(spark, sf):
+    """The scored pairs of lines of an order, as two sequences; tests hold the alignment against all non-crossing ones."""
+    return scoring.ordered_pairs(_pairs(spark, sf)[2], ["u"])
+
+
+def e8_aligned(spark, sf):
+    """Both tables of every study, aligned twice, with what generated orders are called on the gold side."""
+    pairs, names = scoring.aligned(_book(spark, sf, False), _book(spark, sf, True), LAYOUT)
+    own = names.select("study", F.lit("orders").alias("unit"), F.col("made").alias("generated"), "gold")
+    return pairs.join(own.groupBy("study", "unit").agg(F.count("*").alias("n_names")), ["study", "unit"], "left")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2), s AS (SELECT o // 3 AS study, count(*) AS g, sum(CASE WHEN n % 5 > 0 THEN 1 ELSE 0 END) AS m,
+sum(CASE WHEN p % 7 = p % 5 THEN 1 ELSE 2 END) AS kg, sum(CASE WHEN n % 5 > 0 THEN CASE WHEN p % 7 = p % 3 THEN 1 ELSE 2 END END) AS km,
+sum(CASE WHEN n % 5 > 0 THEN len(list_distinct([p % 7, p % 5, p % 3])) ELSE len(list_distinct([p % 7, p % 5])) END) AS slots,
+sum(CASE WHEN n % 5 > 0 THEN len(list_intersect([p % 7, p % 5], [p % 7, p % 3])) ELSE 0 END) AS matched FROM l GROUP BY 1),
+c AS (SELECT o_orderkey // 3 AS study, count(*) AS k FROM orders GROUP BY 1)
+SELECT study, 'orders' AS unit, unnest(['name', 'priority', 'total', 'status']) AS header, unnest(['identifier', 'text', 'value', 'code']) AS tier, k AS gold, k AS generated, unnest([0, k, k, k]) AS matched, unnest([2 * k, k, k, k]) AS slots FROM c
+UNION ALL SELECT study, 'lines', 'order', 'reference', g, m, m, g FROM s UNION ALL SELECT study, 'lines', 'amount', 'value', g, m, m, g FROM s
+UNION ALL SELECT study, 'lines', 'parts', 'code', kg, coalesce(km, 0), matched, slots FROM s""")
+def e9_tallies(spark, sf):
+    """Cells of both tables, rows paired by what they are made from: names differ, but references go through them."""
+    gold, made = _book(spark, sf, False), _book(spark, sf, True)
+    rows = made.select("study", "unit", "pos").distinct()
+    pairs = rows.select("study", "unit", F.when(F.col("unit") == "orders", 2 - F.col("pos")).otherwise(F.col("pos")).alias("i"), F.col("pos").alias("j"))
+    layout = _layout(spark)
+    names = scoring.learned_names(scoring.with_layout(gold, layout), scoring.with_layout(made, layout), pairs)
+    return scoring.tallies(gold, made, pairs, names, layout)
+
+
+QUERIES |= {f.__name__: f for f in (q5_provenance, d10_outline_chain, d11_detected, d13_reconciled, e7_ordered_pairs, e8_aligned)}

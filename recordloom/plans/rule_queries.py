@@ -310,7 +310,7 @@ def _pairs(spark, sf):
     return gold, made, matching.row_pairs(gold, made, ["u"], "p", ["a", "b"])
 
 
-@query("""SELECT l_orderkey, sum(g) AS gold, sum(m) AS generated, sum(CASE WHEN g = 1 AND m = 1 AND l_suppkey % 4 > 0 THEN 1 ELSE 0 END) AS matched, sum(greatest(g, m)) AS slots FROM
+@query("""SELECT l_orderkey, sum(g) AS gold, sum(m) AS generated, sum(CASE WHEN g = 1 AND m = 1 AND l_suppkey % 4 > 0 THEN 1 ELSE 0 END) AS matched, sum(CASE WHEN g = 1 AND m = 1 AND l_suppkey % 4 = 0 THEN 2 ELSE 1 END) AS slots FROM
 (SELECT l_orderkey, l_linenumber, l_suppkey, 1 AS g, CASE WHEN l_linenumber % 3 > 0 THEN 1 ELSE 0 END AS m, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS k FROM lineitem) WHERE k = 1 GROUP BY 1""")
 def e9_cell_tally(spark, sf):
     rows = table(spark, sf, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("p")).agg(F.min_by("l_suppkey", F.struct("l_partkey", "l_suppkey")).alias("s"))
