@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import headings, quotes, scoring
+from ..operators import headings, linking, quotes, scoring
 from ..sources.tables import table
 from .queries import QUERIES, query
 from .rule_queries import _pairs
@@ -268,4 +268,33 @@ def e9_tallies(spark, sf):
     return scoring.tallies(gold, made, pairs, names, layout)
 
 
-QUERIES |= {f.__name__: f for f in (q5_provenance, d10_outline_chain, d11_detected, d13_reconciled, e7_ordered_pairs, e8_aligned)}
+@query("""WITH n AS (SELECT 'P' || p_partkey AS concept, unnest(['P' || p_partkey, upper(p_name), upper(p_brand) || p_size, CASE WHEN p_partkey % 10 = 0 THEN 'P' || (p_partkey + 1) END]) AS phrase FROM part),
+u AS (SELECT phrase, min(concept) AS concept FROM (SELECT DISTINCT * FROM n WHERE phrase IS NOT NULL) GROUP BY 1 HAVING count(*) = 1)
+SELECT coalesce(k.concept, u.phrase) AS phrase, coalesce(k.concept, u.concept) AS concept FROM u FULL JOIN (SELECT 'P' || p_partkey AS concept FROM part) k ON k.concept = u.phrase""")
+def c7_concept_index(spark, sf):
+    """Parts as concepts; every tenth bears the next one's name as a synonym, which does not take it away from that."""
+    part = table(spark, sf, "part")
+    name = lambda n: F.concat(F.lit("P"), n.cast("string"))
+    synonyms = F.array("p_name", F.concat("p_brand", F.col("p_size").cast("string")), F.when(F.col("p_partkey") % 10 == 0, name(F.col("p_partkey") + 1)))
+    return linking.concept_index(part.select(name(F.col("p_partkey")).alias("concept"), synonyms.alias("synonyms")))
+
+
+def r11_linked(spark, sf):
+    """Names of the parts of a brand, in part with a word more, linked to its other parts; tests hold links against all entities."""
+    part = table(spark, sf, "part")
+    entities = part.where("p_partkey % 2 = 0").select("p_brand", F.lit("part").alias("kind"), F.col("p_partkey").alias("entity"), F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("name"), F.array(F.concat_ws(" ", "p_type", "p_name")).alias("texts"))
+    rows = part.where("p_partkey % 2 = 1").select("p_brand", "p_partkey", F.array(F.lit("part")).alias("kinds"), F.concat_ws(" ", F.lower("p_name"), F.when(F.col("p_size") % 3 == 0, F.lower("p_type"))).alias("phrase"), (F.col("p_size") % 5 > 0).alias("extracted"), F.lit(0.9).alias("confidence"))
+    return linking.linked(rows, ["p_partkey"], "p_brand", "kinds", "phrase", "extracted", "confidence", entities).drop("kinds")
+
+
+def r12_activity_concepts(spark, sf):
+    """Brands as studies: parts' names as activities, types as assessments whose measurements are the names of parts."""
+    part = table(spark, sf, "part")
+    concepts = part.select(F.upper("p_name").alias("concept")).distinct().where(F.length("concept") % 2 == 0).withColumn("synonyms", F.array().cast("array<string>"))
+    measured = part.select("p_brand", F.col("p_type").alias("assessment"), F.col("p_type").alias("name"), F.col("p_partkey").alias("nth"), F.col("p_name").alias("value"), F.lit(0.9).alias("confidence"), (F.col("p_size") > 5).alias("verified"))
+    activities = part.select("p_brand", F.col("p_partkey").alias("activity"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.col("p_name")).alias("label"))
+    found = linking.activity_concepts(activities, "p_brand", "activity", "label", measured, concepts)
+    return found.select("p_brand", "activity", "concepts", "state", F.size("missing").alias("n_missing"), "confidence", "verified")
+
+
+QUERIES |= {f.__name__: f for f in (q5_provenance, d10_outline_chain, d11_detected, d13_reconciled, e7_ordered_pairs, e8_aligned, r11_linked, r12_activity_concepts)}
