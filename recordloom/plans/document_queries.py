@@ -1,8 +1,9 @@
 """Quotes, headings and other rules over whole documents bound to the given tables, with the DuckDB SQL of the same rows."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import headings, linking, quotes, scoring
+from ..operators import headings, linking, quotes, scoring, taxonomy
 from ..sources.tables import table
 from .queries import QUERIES, query
 from .rule_queries import _pairs
@@ -297,4 +298,46 @@ def r12_activity_concepts(spark, sf):
     return found.select("p_brand", "activity", "concepts", "state", F.size("missing").alias("n_missing"), "confidence", "verified")
 
 
-QUERIES |= {f.__name__: f for f in (q5_provenance, d10_outline_chain, d11_detected, d13_reconciled, e7_ordered_pairs, e8_aligned, r11_linked, r12_activity_concepts)}
+def _template(spark, sf):
+    """Types of parts as chapters, brands with a name as entries below, other names of the brand as aliases."""
+    part = table(spark, sf, "part")
+    chapters = part.select("p_type").distinct().withColumn("nth", F.dense_rank().over(Window.orderBy("p_type")))  # a handful of types
+    brands = part.groupBy("p_brand").agg(F.min("p_name").alias("title"), F.min("p_type").alias("p_type"), F.array_sort(F.collect_set("p_name")).alias("aliases"))
+    below = brands.join(chapters, "p_type").select(F.concat_ws(".", F.col("nth").cast("string"), F.substring("p_brand", 7, 3)).alias("number"), "title", "aliases", (F.col("nth") * 1000 + F.substring("p_brand", 7, 3).cast("int")).alias("nth"))
+    return chapters.select(F.col("nth").cast("string").alias("number"), F.initcap("p_type").alias("title"), F.array(F.concat("p_type", F.lit(" parts"))).alias("aliases"), (F.col("nth") * 1000).alias("nth")).unionByName(below)
+
+
+def _titled(spark, sf):
+    """Orders as chapters of their customer's document, lines as sections below, titled after their part."""
+    orders, part = table(spark, sf, "orders"), table(spark, sf, "part")
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p_partkey")).join(part, "p_partkey")
+    a = orders.select(F.col("o_custkey").alias("doc"), F.concat(F.lit("o"), "o_orderkey").alias("section_id"), F.lit(None).cast("string").alias("number"), F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, F.lit(" economy parts")).otherwise("")).alias("title"), F.lit(1).alias("level"), F.when(F.col("o_orderkey") % 7 == 0, "appendix").otherwise("body").alias("kind"), F.lit(None).cast("string").alias("parent_id"))
+    b = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("doc"), F.concat_ws("-", F.concat(F.lit("l"), "l_orderkey"), "l_linenumber").alias("section_id"), F.lit(None).cast("string").alias("number"), F.concat_ws(" ", F.when(F.col("l_linenumber") % 2 == 0, F.col("p_name")), F.lit("thing")).alias("title"), F.lit(2).alias("level"), F.lit("body").alias("kind"), F.concat(F.lit("o"), "l_orderkey").alias("parent_id"))
+    return a.unionByName(b).withColumn("soa", F.length("section_id") % 5 == 0)
+
+
+def m5_assigned(spark, sf):
+    """Documents of customers against a template made of parts; tests hold assignments against going through each document."""
+    return taxonomy.assigned(_titled(spark, sf), _template(spark, sf), "doc").withColumn("candidates", F.to_json("candidates"))
+
+
+@query("""WITH v AS (SELECT p_name AS words FROM part), e AS (SELECT unnest(list_distinct(list_filter(string_split(words, ' '), lambda w: w <> ''))) AS word FROM v)
+SELECT word, ln(((SELECT count(*) FROM v) + 1.0) / (count(*) + 1)) + 1 AS weight FROM e GROUP BY 1""")
+def m1_variant_weights(spark, sf):
+    """Every part's name as a variant, repeated names counting as often as they occur."""
+    return taxonomy.word_weights(table(spark, sf, "part").select(F.col("p_name").alias("words")))[0]
+
+
+@query("""WITH a AS (SELECT l_orderkey AS doc, l_linenumber AS section_id, l_suppkey % 3 + 1 || '.' || l_partkey % 4 || CASE WHEN l_partkey % 5 = 0 THEN '.1' ELSE '' END AS node, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS k FROM lineitem),
+w AS (SELECT 'below' AS topic, doc, section_id FROM a WHERE k = 1 AND (node = '2' OR starts_with(node, '2.')) UNION SELECT 'exact', doc, section_id FROM a WHERE k = 1 AND node IN ('1.1', '3'))
+SELECT topic, doc, section_id, false AS fallback FROM w UNION ALL SELECT 'exact', doc, section_id, true FROM a WHERE k = 1 AND starts_with(node, '3.') AND doc NOT IN (SELECT doc FROM w WHERE topic = 'exact')""")
+def m8_topic_sections(spark, sf):
+    pick = F.min(F.struct("l_partkey", "l_suppkey")).alias("x")
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("section_id")).agg(pick)
+    node = F.concat((F.col("x.l_suppkey") % 3 + 1).cast("string"), F.lit("."), (F.col("x.l_partkey") % 4).cast("string"), F.when(F.col("x.l_partkey") % 5 == 0, ".1").otherwise(""))
+    made = rows.select("doc", "section_id", node.alias("node"), F.lit("title_match").alias("method"))
+    topics = spark.createDataFrame([("below", ["2"], [], [], []), ("exact", [], ["1.1", "3"], ["3"], [])], "topic string, numbers array<string>, exact array<string>, otherwise array<string>, extra array<int>")
+    return taxonomy.topic_sections(topics, made, made.withColumn("pos", F.col("section_id")), "doc", "pos").select("topic", "doc", "section_id", "fallback")
+
+
+QUERIES |= {f.__name__: f for f in (q5_provenance, d10_outline_chain, d11_detected, d13_reconciled, e7_ordered_pairs, e8_aligned, r11_linked, r12_activity_concepts, m5_assigned)}
