@@ -90,8 +90,7 @@ def linked(
     gives twice as many pairs as it has members, and the buckets of a large group have some leaders in common. Only buckets that still hold nodes
     of different components go on: bounds from their whole sets (of sets_of, or the contents) leave out members
     that can have no link, and each meets up to `rounds` times two other leaders, for as long as that finds links. What
-    then still shares a bucket without a common component is paired in full, as far as the bounds let it.
-    Copies and near copies have merged by then, so a large group is not paired with itself.
+    then still shares a bucket without a common component is paired by its rare elements, whatever its bucket.
     """
     keys = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     rest = buckets.join(small(saved(keys)), "key").withColumn("component", F.col("node"))
@@ -140,14 +139,35 @@ def linked(
             members = nodes.join(small(saved(rest.select("node").distinct())), "node", "left_semi")
             sets = saved((sets_of or content_of)(members).toDF("node", "set"))
             rest, also = _narrowed(rest, sets, percent)
-            freed(sets)
             near = f"{near} and {also}"
-    x, y = rest.alias("x"), rest.alias("y")
-    pairs = x.join(y, "key").where(f"x.component < y.component and {near}")
-    more = confirmed(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
+    more = confirmed(_by_rare_elements(rest.drop("key").dropDuplicates(["node"]), sets, percent, near))
+    freed(sets)
     return found if more.isEmpty() else merged(more)
 
 
+def _by_rare_elements(members: DataFrame, sets: DataFrame, percent: int, near: str) -> DataFrame:
+    """Pairs (a, b) of members of different components that may be linked, by the rarest elements of their sets.
+
+    With the elements of each set in one order, the rarest first, two linked sets share one among the first of the smaller set,
+    as many as it may have beyond what a link needs of it, and the first of the larger one. So members of large groups
+    that are alike but not linked meet only where they share what few others have, and not through what the group
+    has in common. Elements that only one member has count as its rarest and meet nobody.
+    """
+    own = saved(members.select("node").join(sets, "node").select("node", F.explode("set").alias("e")))
+    often = own.groupBy("e").agg(F.count("*").alias("n"))
+    listed = own.join(often, "e").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("n", "e"))).alias("l"))
+    size = F.size("l")
+    probe = F.expr(f"size(l) - cast(({percent} * size(l) + 99) div 100 as int) + 1")
+    index = F.expr(f"size(l) - cast(({2 * percent} * size(l) + {99 + percent}) div {100 + percent} as int) + 1")
+    first = listed.select("node", size.alias("_size"), index.alias("_index"), F.posexplode(F.slice("l", F.lit(1), probe)).alias("_at", "_e")).where("_e.n > 1")
+    first = saved(first.select("node", "_size", (F.col("_at") < F.col("_index")).alias("_few"), F.col("_e.e").alias("_e")).join(small(members, few=FEW // 8), "node"))
+    x, y = first.where("_few").alias("x"), first.alias("y")
+    smaller = f"(x._size, x.node) < (y._size, y.node) and 100 * x._size >= {percent} * y._size"
+    pairs = saved(x.join(y, "_e").where(f"x.component <> y.component and {smaller} and {near}").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
+    freed(own, first)
+    return pairs
+
+
 def _met(rest: DataFrame, near: str, salt: int) -> DataFrame:
     """Pairs (a, b) of each member with two leaders of its bucket that are in another component."""
     turn = F.pmod("key", F.lit(LEADERS))
