@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import headings, linking, quotes, scoring, taxonomy
 from ..sources.tables import table
+from ..streaming import edits
 from .queries import QUERIES, query
 from .rule_queries import _pairs
 
@@ -340,4 +341,20 @@ def m8_topic_sections(spark, sf):
     return taxonomy.topic_sections(topics, made, made.withColumn("pos", F.col("section_id")), "doc", "pos").select("topic", "doc", "section_id", "fallback")
 
 
-QUERIES |= {f.__name__: f for f in (q5_provenance, d10_outline_chain, d11_detected, d13_reconciled, e7_ordered_pairs, e8_aligned, r11_linked, r12_activity_concepts, m5_assigned)}
+_SHEETS = {"notes": {"fields": ["kind", "value"], "prefix": "n", "name": "kind", "title": "note"}}
+
+
+def l3_row_edits(spark, sf):
+    """Each user's first events as a document, the others as edits of it; tests hold the fold as a table against streams cut anywhere."""
+    events = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("run_id"), "event_id", "event_type", F.col("value").cast("string").alias("value"))
+    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("event_id"))
+    rows = events.withColumn("n", nth)
+    cells = rows.where("n <= 3").select("run_id", F.lit("notes").alias("sheet"), (F.col("n") - 1).alias("pos"), F.explode(F.create_map(F.lit("kind"), F.col("event_type"), F.lit("value"), F.col("value"))).alias("field", "value")).withColumn("code", F.lit(None).cast("string"))
+    kinds = F.element_at(F.array(*map(F.lit, ["set", "add_row", "move_row", "accept", "delete_row", "confirm"])), (F.col("event_id") % 6 + 1).cast("int"))
+    row = F.concat(F.lit("n-"), (F.col("event_id") % 4 + 1).cast("string"))
+    known = {"run_id": F.col("run_id"), "batch_id": F.floor(F.col("n") / 2), "seq": F.col("n"), "base_revision": F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 7), "op": kinds, "sheet": F.lit("notes"), "row_id": row, "field": F.when(F.col("event_id") % 2 == 0, "kind").otherwise("value"), "value": F.col("event_type"), "code": F.lit(None), "after_row_id": F.when(F.col("event_id") % 3 > 0, row), "to_index": F.col("event_id") % 3}
+    more = rows.where("n > 3").select(*(known[c].cast(k).alias(c) for c, k in (x.split() for x in edits.OPERATIONS.split(", "))))
+    return edits.audited(edits.opened(cells).unionByName(more), _SHEETS)
+
+
+QUERIES |= {f.__name__: f for f in (q5_provenance, d10_outline_chain, d11_detected, d13_reconciled, e7_ordered_pairs, e8_aligned, r11_linked, r12_activity_concepts, m5_assigned, l3_row_edits)}
