@@ -1,9 +1,11 @@
 """Pages, sections and tables of documents: running lines, contents pages, section texts, grids."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_page_label, repeat_key
+from ..session import importable
 
 # What marks a contents line, a schedule's heading cell and a filled mark.
 LEADER = r"(\.{4,}|…{2,}|(\. ){4,})\s*[0-9]{1,4}\s*$"
@@ -48,14 +50,27 @@ def section_texts(lines: DataFrame, section: list[str], order: list[str], page:
     return out.select(*section, "page_start", "page_end", F.array_join(F.transform("_all", lambda x: x["_line"]), "\n").alias("text"))
 
 
-def page_ends(sections: DataFrame, within: list[str], pos: str, level: str, end: str, levels: int = 6) -> DataFrame:
-    """Page ends extended over each section's subtree: the rows up to the next of its level or a smaller one."""
-    ahead = Window.partitionBy(*within).orderBy(pos).rowsBetween(1, Window.unboundedFollowing)
-    limit = F.coalesce(*(F.when(F.col(level) == k, F.coalesce(F.min(F.when(F.col(level) <= k, F.col(pos))).over(ahead), F.lit(1 << 30))) for k in range(1, levels + 1)))
-    at = sections.withColumn("_limit", limit)
-    below = sections.select(*within, F.col(pos).alias("_pos"), F.col(end).alias("_end"))
-    inside = at.join(below, within).where((F.col("_pos") >= F.col(pos)) & (F.col("_pos") < F.col("_limit")))
-    return inside.groupBy(*within, pos, level).agg(F.max("_end").alias(end))
+def _ends(table: pa.Table) -> pa.Table:
+    """The last page of each row and of the rows below it: from the end, what a row closes is below it."""
+    table = table.sort_by("_pos")
+    levels, ends = table["_level"].to_pylist(), table["_end"].to_pylist()
+    open_: list[int] = []
+    for i in range(len(levels) - 1, -1, -1):
+        while open_ and levels[open_[-1]] > levels[i]:
+            below = ends[open_.pop()]
+            ends[i] = below if ends[i] is None else ends[i] if below is None else max(ends[i], below)
+        open_.append(i)
+    return table.drop_columns(["_end"]).append_column("_end", pa.array(ends, table["_end"].type))
+
+
+def page_ends(sections: DataFrame, within: list[str], pos: str, level: str, end: str) -> DataFrame:
+    """Page ends extended over each section's subtree: the rows up to the next of its level or a smaller one. Levels may be of any depth.
+
+    A document's positions, levels and ends, and nothing else, go through one pass from its end.
+    """
+    importable(sections.sparkSession)
+    thin = sections.select(*within, F.col(pos).alias("_pos"), F.col(level).alias("_level"), F.col(end).alias("_end"))
+    return thin.groupBy(*within).applyInArrow(_ends, thin.schema).select(*within, F.col("_pos").alias(pos), F.col("_level").alias(level), F.col("_end").alias(end))
 
 
 def grid_shape(cells: Column) -> dict[str, Column]:

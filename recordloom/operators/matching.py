@@ -115,13 +115,33 @@ def coverage(documents: DataFrame, doc: str, template: DataFrame, node: str, ass
     return grid.join(have, [doc, node], "left").withColumn("state", state)
 
 
-def candidates(phrases: DataFrame, scope: str, phrase: str, terms: DataFrame, code: str, text: str, most: int = 5) -> DataFrame:
-    """The best terms of each distinct phrase within its scope: score, place and status (fuzzy from 80, else unresolved); never a code."""
-    pairs = phrases.select(scope, phrase).distinct().join(terms.select(scope, code, text), scope)
-    x, y = folded(F.col(phrase)), folded(F.col(text))
-    best = pairs.withColumn("score", F.round(F.greatest(token_set_ratio(x, y), ratio(x, y)), 1)).groupBy(scope, phrase, code).agg(F.max("score").alias("score"))
+def candidates(phrases: DataFrame, scope: str, phrase: str, terms: DataFrame, code: str, texts: list[str], most: int = 5) -> DataFrame:
+    """What each distinct phrase may stand for within its scope: code, score, place and status.
+
+    texts: columns of terms with a text or an array of them. A phrase that is a code, or equals a text of a term, is `exact`, and that
+    term, by the order of the columns, is all it gets. Others get the best `most` terms by their best text, `fuzzy` if the first has 80 or more, else
+    `unresolved`, and are never given a code by that. A phrase whose scope has no terms keeps a row without one; null and blank phrases have no status.
+    """
+    importable(phrases.sparkSession)
+    asked = phrases.select(scope, phrase).distinct().withColumn("_x", folded(F.col(phrase)))
+    kinds = dict(terms.dtypes)
+    listed = lambda c: F.col(c).cast("array<string>") if kinds[c].startswith("array") else F.array(F.col(c).cast("string"))
+    told = lambda by: lambda t: F.struct(F.lit(by).alias("by"), folded(t).alias("text"))
+    each = F.concat(*(F.transform(F.coalesce(listed(c), F.array().cast("array<string>")), told(i)) for i, c in enumerate([code, *texts])))
+    known = terms.select(scope, F.col(code).alias("_code"), F.explode(each).alias("_t")).select(scope, "_code", "_t.by", F.col("_t.text").alias("_y")).where("coalesce(_y, '') <> ''").distinct()
+    exact = asked.withColumn("_y", F.col("_x")).join(known, [scope, "_y"]).groupBy(scope, phrase).agg(F.min_by("_code", F.struct("by", "_code")).alias(code))
+    exact = exact.select(scope, phrase, code, F.lit(100.0).alias("score"), F.lit(1).alias("place"), F.lit("exact").alias("status"))
+    left = asked.where("coalesce(_x, '') <> ''").join(exact.select(scope, phrase), [scope, phrase], "left_anti")
+    pairs = left.join(known.where("by > 0").select(scope, "_code", "_y").distinct(), scope)
+    # equal words, other than in order, and equal texts need no ratio; the rest is scored once for each pair of texts
+    scores = saved(pairs.select("_x", "_y").distinct()).withColumn("_s", F.round(F.greatest(token_set_ratio("_x", "_y"), ratio("_x", "_y")), 1))
+    best = pairs.join(scores, ["_x", "_y"]).groupBy(scope, phrase, F.col("_code").alias(code)).agg(F.max("_s").alias("score"))
     placed = best.withColumn("place", F.row_number().over(Window.partitionBy(scope, phrase).orderBy(F.desc("score"), code))).where(F.col("place") <= most)
-    return placed.withColumn("status", F.when(F.max("score").over(Window.partitionBy(scope, phrase)) >= 80, "fuzzy").otherwise("unresolved"))
+    placed = placed.withColumn("status", F.when(F.max("score").over(Window.partitionBy(scope, phrase)) >= 80, "fuzzy").otherwise("unresolved"))
+    found = exact.unionByName(placed).withColumnsRenamed({scope: "_scope", phrase: "_phrase"})
+    same = F.col(scope).eqNullSafe(F.col("_scope")) & F.col(phrase).eqNullSafe(F.col("_phrase"))
+    out = asked.join(found, same, "left").select(scope, phrase, "_x", code, "score", "place", "status")
+    return out.withColumn("status", F.when(F.coalesce("_x", F.lit("")) != "", F.coalesce("status", F.lit("unresolved")))).drop("_x")
 
 
 def joined_confidence(cells: DataFrame, by: list[str], confidence: str, verified: str, judged: Column) -> DataFrame:

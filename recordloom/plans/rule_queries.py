@@ -365,10 +365,10 @@ def e6_best_pairs(spark, sf):
 
 
 def c2_candidates(spark, sf):
-    """Part names that no term of their brand equals, against the brand's names of the other parts."""
-    part = table(spark, sf, "part").select("p_brand", "p_name", "p_partkey")
+    """Names of a tenth of the parts, against names and types of another tenth, of the same brand."""
+    part = table(spark, sf, "part").select("p_brand", "p_name", "p_type", "p_partkey")
     phrases = part.where("p_partkey % 10 = 0").select("p_brand", F.col("p_name").alias("phrase"))
-    return matching.candidates(phrases, "p_brand", "phrase", part.where("p_partkey % 10 = 1"), "p_partkey", "p_name")
+    return matching.candidates(phrases, "p_brand", "phrase", part.where("p_partkey % 10 = 1"), "p_partkey", ["p_name", "p_type"])
 
 
 def e2_text_scores(spark, sf):

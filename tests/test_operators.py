@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from recordloom.operators import layout, matching, review
+from recordloom.sources import tables
 from recordloom.streaming import review as revisions
 
 
@@ -64,10 +65,38 @@ def test_text_scores(spark):
 
 def test_terms_near_a_phrase(spark):
     terms = spark.createDataFrame([("arm", "C174268", "Placebo Control Arm"), ("arm", "C174266", "Investigational Arm"), ("x", "C1", "placebo")], "list string, code string, text string")
-    phrases = spark.createDataFrame([("arm", "placebo"), ("arm", "double blind")], "list string, phrase string")
-    got = matching.candidates(phrases, "list", "phrase", terms, "code", "text").where("place = 1").collect()
-    best = {r.phrase: (r.code, r.status) for r in got}
-    assert best["placebo"] == ("C174268", "fuzzy") and best["double blind"][1] == "unresolved"
+    terms = terms.withColumn("synonyms", F.when(F.col("code") == "C174268", F.array(F.lit("Sham Intervention Arm"), F.lit(None))))
+    asked = [("arm", "placebo"), ("arm", "double blind"), ("arm", " sham intervention  ARM"), ("arm", "c174266"), ("arm", "C1"), ("none", "placebo"), ("arm", None), ("arm", " "), (None, "placebo"), ("x", "Placebo")]
+    got = matching.candidates(spark.createDataFrame(asked, "list string, phrase string"), "list", "phrase", terms, "code", ["text", "synonyms"]).collect()
+    best = {(r.list, r.phrase): (r.code, r.status) for r in got if r.place in (1, None)}
+    assert best["arm", "placebo"] == ("C174268", "fuzzy") and best["arm", "double blind"][1] == "unresolved" and best["arm", "C1"][1] == "unresolved"
+    assert best["arm", " sham intervention  ARM"] == ("C174268", "exact") and best["arm", "c174266"] == ("C174266", "exact") and best["x", "Placebo"] == ("C1", "exact")
+    assert best["none", "placebo"] == best[None, "placebo"] == (None, "unresolved") and best["arm", None] == best["arm", " "] == (None, None) and len(best) == len(asked)
+
+
+def test_uploads_get_names_that_are_free(spark):
+    files = [("s", "a.pdf", "1"), ("s", "a (2).pdf", "2"), ("s", "a.pdf", "3"), ("s", "a.pdf", "1"), ("s", "a.pdf", "5"), ("t", "a.pdf", "1"), ("s", "b.pdf", None), ("s", "b.pdf", "x"), (None, "a.pdf", "1"), ("s", "a (2).pdf", "9")]
+    df = spark.createDataFrame([(*f, i) for i, f in enumerate(files)], "study string, n string, body string, at int")
+    got = {r.at: (r.stored, r.copies) for r in tables.unique_uploads(df, "study", "n", "body", "at", ".pdf").collect()}
+    assert got == {0: ("a.pdf", 2), 1: ("a (2).pdf", 1), 2: ("a (3).pdf", 1), 4: ("a (4).pdf", 1), 5: ("a.pdf", 1), 6: ("b.pdf", 1), 7: ("b (2).pdf", 1), 8: ("a.pdf", 1), 9: ("a (2) (2).pdf", 1)}
+    raw = ["C:\\x\\My  Trial*é v1.PDF", "../..", "", "a/b/._ok_.pdf", "x" * 200]
+    names = [r.y for r in spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, r string").orderBy("i").select(tables.safe_file_name(F.col("r")).alias("y")).collect()]
+    assert names == ["My Trial_ v1.pdf", "protocol.pdf", "protocol.pdf", "ok.pdf", "x" * 150 + ".pdf"]
+
+
+def test_page_ends_of_deep_and_random_trees(spark):
+    rng = random.Random(9)
+    rows = [(d, i, rng.randint(1, 9), rng.choice([None, rng.randint(1, 40)])) for d in range(5) for i in range(30)]
+    want = {}
+    for d, i, level, end in rows:
+        ends = [end]
+        for _, _, deeper, e in rows[d * 30 + i + 1 : d * 30 + 30]:
+            if deeper <= level:
+                break
+            ends.append(e)
+        want[d, i] = max((e for e in ends if e is not None), default=None)
+    got = layout.page_ends(spark.createDataFrame(rows, "d int, i int, level int, page int"), ["d"], "i", "level", "page").collect()
+    assert {(r.d, r.i): r.page for r in got} == want
 
 
 def test_names_are_unique_where_a_number_is_taken(spark):
