@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import importable
+
 #: run_id, batch_id, the revision it was made against, whether all its operations are valid, how many change something.
 SCHEMA = "run_id string, batch_id long, base_revision long, valid boolean, changes long"
 OUT = "run_id string, batch_id long, accepted boolean, revision long"
@@ -28,6 +30,7 @@ def revisions(batches: DataFrame) -> DataFrame:
     raises the revision by one if it changes anything. Works on streams, whose state is one number a run, and
     on tables, where a run's batches meet in one task: each depends on the one before.
     """
+    importable(batches.sparkSession)
     if not batches.isStreaming:
         return batches.groupBy("run_id").applyInPandas(lambda own: _step(0, own)[1], OUT)
 
