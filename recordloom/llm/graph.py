@@ -91,7 +91,8 @@ def linked(
     gives twice as many pairs as it has members, and the buckets of a large group have some leaders in common. Only buckets that still hold nodes
     of different components go on: bounds from their whole sets (of sets_of, or the contents) leave out members
     that can have no link, and each meets up to `rounds` times two other leaders, for as long as that finds links. What
-    then still shares a bucket without a common component is paired by its rare elements, whatever its bucket.
+    then still shares a bucket without a common component is paired in full if its bucket has at most CROWD members, which is linear in
+    the members, and else by its rare elements.
     """
     keys = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     rest = buckets.join(small(saved(keys)), "key").withColumn("component", F.col("node"))
@@ -141,12 +142,19 @@ def linked(
             sets = saved((sets_of or content_of)(members).toDF("node", "set"))
             rest, also = _narrowed(rest, sets, percent)
             near = f"{near} and {also}"
-    members = saved(rest.drop("key").dropDuplicates(["node"]))
-    more = confirmed(_by_rare_elements(members, sets, percent, near))
+    crowded = saved(rest.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"))
+    x, y = (rest.join(small(crowded), "key", "left_anti").alias(side) for side in "xy")
+    pairs = x.join(y, "key").where(f"x.component < y.component and {near}").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    members = saved(rest.join(small(crowded), "key", "left_semi").drop("key").dropDuplicates(["node"]))
+    if not members.isEmpty():
+        pairs = pairs.unionByName(_by_rare_elements(members, sets, percent, near))
+    more = confirmed(pairs)
     freed(sets, members)
     return found if more.isEmpty() else merged(more)
 
 
+#: Members of an open bucket up to which all are paired with each other.
+CROWD = 64
 #: Counters of elements by which rare ones are told from common ones: one row of so many numbers, sent to every task.
 COUNTERS = 1 << 16
 
