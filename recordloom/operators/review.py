@@ -3,6 +3,10 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fuzzy import ratio, token_set_ratio
+from ..functions.text import folded
+from ..session import importable, saved
+
 from ..functions.text import folded
 
 
@@ -12,15 +16,16 @@ def missing_names(entities: DataFrame, name: str, active: Column) -> DataFrame:
 
 
 def field_issues(fields: DataFrame, layout: DataFrame, on: list[str], value: str, status: str, confidence: str, verified: str, exempt: Column, low: float = 0.7) -> DataFrame:
-    """One row per issue of a field: required, terminology (blocking), low confidence, unverified (warnings).
+    """One row per issue of a field: unknown, required, terminology (blocking), low confidence, unverified (warnings).
 
-    layout says by `on` whether a field is required and coded. Accepted, derived and human fields are exempt
+    layout says by `on` whether a field is required and coded; a field that it does not have is unknown. Accepted, derived and human fields are exempt
     from the last two.
     """
-    both = fields.join(layout.select(*on, "required", "coded"), on)
+    both = fields.join(layout.select(*on, "required", "coded"), on, "left")
     empty = F.trim(F.coalesce(F.col(value), F.lit(""))) == ""
     issue = lambda when, kind, blocking: F.when(when, F.struct(F.lit(kind).alias("issue"), F.lit(blocking).alias("blocking")))
     found = F.array_compact(F.array(
+        issue(F.col("required").isNull(), "unknown", True),
         issue(F.col("required") & empty, "required", True),
         issue(F.col("coded") & ~empty & (F.coalesce(F.col(status), F.lit("")) != "exact"), "terminology", True),
         issue(~empty & ~exempt & (F.col(confidence) < low), "low confidence", False),
@@ -29,6 +34,45 @@ def field_issues(fields: DataFrame, layout: DataFrame, on: list[str], value: str
     return both.withColumn("_issue", F.explode(found)).select(*fields.columns, "_issue.*")
 
 
+def structure_issues(rows: DataFrame, cells: DataFrame, layout: DataFrame, sheet: list[str], pos: str) -> DataFrame:
+    """*sheet, pos, field, issue and blocking of rows of two-level sheets that break their structure.
+
+    rows: every row; cells: sheet, pos, field, value; layout: the sheet's name (last of `sheet`), field, required, nth (the order) and grp (its group: lead, the leading one, or
+    below; null for none). A row with nothing in it is empty (told at the last group's first field); a first row must start the leading group; a required field of a
+    group is asked for only in rows in which the group has anything.
+    """
+    at, kind = [*sheet, pos], sheet[-1]
+    shape = layout.select(kind, "field", "required", "nth", F.col("grp"))
+    filled = cells.where(F.trim(F.coalesce("value", F.lit(""))) != "").join(shape, [kind, "field"])
+    has = lambda g: F.max((F.col("grp").eqNullSafe(F.lit(g))).cast("int"))
+    state = rows.select(*at).join(filled.groupBy(*at).agg(has("lead").alias("_lead"), has("below").alias("_below"), F.count("*").alias("_n")), at, "left").fillna(0, ["_lead", "_below", "_n"])
+    state = state.withColumn("_first", F.row_number().over(Window.partitionBy(*sheet).orderBy(pos)) == 1)
+    heads = shape.where("grp is not null").groupBy(kind).agg(F.min_by("field", F.when(F.col("grp") == "lead", F.col("nth"))).alias("_top"), F.min_by("field", F.when(F.col("grp") == "below", F.col("nth"))).alias("_low"))
+    told = state.join(heads, kind)
+    issue = lambda df, field, name: df.select(*at, F.col(field).alias("field"), F.lit(name).alias("issue"), F.lit(True).alias("blocking"))
+    empty = issue(told.where("_n = 0").withColumn("_f", F.coalesce("_low", "_top")), "_f", "empty row")
+    start = issue(told.where("_n > 0 and _first and _lead = 0"), "_top", "first row starts no entry")
+    asked = state.where("_n > 0").join(shape.where("required"), kind).where("grp is null or (grp = 'lead' and _lead = 1) or (grp = 'below' and _below = 1)")
+    lacking = issue(asked.join(filled.select(*at, "field"), [*at, "field"], "left_anti"), "field", "required")
+    return empty.unionByName(start).unionByName(lacking)
+
+
+def ranked_terms(queries: DataFrame, codelist: str, query: str, terms: DataFrame, code: str, preferred: str, texts: list[str]) -> DataFrame:
+    """*queries, code, preferred, score and place of all terms of each query's code list, best first; by preferred term where scores are equal or nothing is asked.
+
+    A term's score is its best text's, and 100 if the query is its code. Distinct queries meet the terms of their code list only; pairs of texts are scored once.
+    """
+    importable(queries.sparkSession)
+    asked = queries.select(codelist, query).distinct().withColumn("_q", folded(F.coalesce(query, F.lit(""))))
+    own = terms.select(codelist, code, preferred, F.concat(*(F.coalesce(F.col(c).cast("array<string>") if dict(terms.dtypes)[c].startswith("array") else F.array(F.col(c).cast("string")), F.array().cast("array<string>")) for c in texts)).alias("_all"))
+    pairs = asked.join(own, codelist).withColumn("_t", F.explode_outer(F.filter(F.transform("_all", lambda t: folded(t)), lambda t: t != ""))).drop("_all")
+    scores = saved(pairs.where("_q <> '' and _t is not null").select("_q", "_t").distinct()).withColumn("_s", F.round(F.greatest(token_set_ratio("_q", "_t"), ratio("_q", "_t")), 1))
+    best = pairs.join(scores, ["_q", "_t"], "left").groupBy(codelist, query, "_q", code, preferred).agg(F.max(F.coalesce("_s", F.lit(0.0))).alias("score"))
+    best = best.withColumn("score", F.when((F.col("_q") != "") & (F.col("_q") == F.lower(F.col(code).cast("string"))), 100.0).otherwise(F.col("score")))
+    place = F.row_number().over(Window.partitionBy(codelist, query).orderBy(F.desc("score"), F.lower(F.coalesce(preferred, F.lit(""))), code))
+    return best.withColumn("place", place).drop("_q")
+
+
 def cell_states(fields: DataFrame, value: str, required: Column, unresolved: Column, edited: Column, low: Column, generated: Column) -> DataFrame:
     """fields with the state a reviewer sees first: required, terminology, edited, low, empty, generated or ok."""
     empty = F.trim(F.coalesce(F.col(value), F.lit(""))) == ""

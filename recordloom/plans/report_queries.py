@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import reports, schedule
+from ..operators import reports, review, schedule
 from ..session import shared_folder
 from ..sources import artefacts
 from ..sources.tables import table
-from .queries import query
+from .queries import QUERIES, query
 
 _CHAT = "conv_id long, turns array<struct<turn: long, role: string, text: string>>"
 
@@ -101,3 +101,27 @@ def e14_not_scored(spark, sf):
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority <> '1-URGENT'")
 def c9_other_releases(spark, sf):
     return reports.other_releases(table(spark, sf, "orders"), "o_orderpriority", "1-URGENT").select("o_orderkey", "o_orderpriority")
+
+
+@query("""WITH r AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), c AS (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END) AS lead, max(CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END) AS below, max(CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE 0 END) AS more, max(CASE WHEN l_partkey % 21 = 0 THEN 1 ELSE 0 END) AS unit FROM lineitem GROUP BY 1, 2),
+s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1 AS f FROM c)
+SELECT l_orderkey, l_linenumber, 'label' AS field, 'empty row' AS issue FROM s WHERE lead + below + more = 0 UNION ALL SELECT l_orderkey, l_linenumber, 'name', 'first row starts no entry' FROM s WHERE lead + below + more > 0 AND f AND lead = 0
+UNION ALL SELECT l_orderkey, l_linenumber, 'unit', 'required' FROM s WHERE lead + below + more > 0 AND below = 1 AND unit = 0""")
+def v5_structure_issues(spark, sf):
+    """Orders as sheets of two levels: a name of the upper one, a label and a unit of the lower one, each in some of the lines."""
+    rows = table(spark, sf, "lineitem").withColumn("sheet", F.lit("lines"))
+    cell = lambda n, field: rows.where(F.col("l_partkey") % n == 0).select("l_orderkey", "sheet", "l_linenumber", F.lit(field).alias("field"), F.lit("x").alias("value")).distinct()
+    layout = spark.createDataFrame([("lines", "name", True, 1, "lead"), ("lines", "label", True, 2, "below"), ("lines", "unit", True, 3, "below"), ("lines", "note", False, 4, None)], "sheet string, field string, required boolean, nth int, grp string")
+    cells = cell(5, "name").unionByName(cell(3, "label")).unionByName(cell(7, "note"))
+    lacks = review.structure_issues(rows.select("l_orderkey", "sheet", "l_linenumber").distinct(), cells.unionByName(cell(21, "unit")), layout, ["l_orderkey", "sheet"], "l_linenumber")
+    return lacks.select("l_orderkey", "l_linenumber", "field", "issue")
+
+
+def c6_ranked_terms(spark, sf):
+    """Types of parts, in part blank, asked of the names of each brand; tests hold ranks against plain Python."""
+    part = table(spark, sf, "part")
+    asked = part.where("p_partkey % 25 = 0").select("p_brand", F.when(F.col("p_size") % 4 > 0, F.concat_ws(" ", "p_name", F.lower("p_type"))).alias("asked"))
+    return review.ranked_terms(asked, "p_brand", "asked", part.select("p_brand", "p_partkey", "p_name", "p_type"), "p_partkey", "p_name", ["p_name", "p_type"])
+
+
+QUERIES["c6_ranked_terms"] = c6_ranked_terms

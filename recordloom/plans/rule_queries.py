@@ -171,7 +171,8 @@ def v2_missing_names(spark, sf):
     return review.missing_names(rows, "name", F.col("o_orderstatus") != "P").select("o_orderkey")
 
 
-@query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber = 1 AS required, l_linenumber = 2 AS coded, l_suppkey % 4 = 0 AS empty, l_partkey % 2 = 0 AS exact, l_discount * 10 AS confidence, l_suppkey % 3 = 0 AS verified FROM lineitem WHERE l_linenumber <= 3)
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber = 1 AS required, l_linenumber = 2 AS coded, l_suppkey % 4 = 0 AS empty, l_partkey % 2 = 0 AS exact, l_discount * 10 AS confidence, l_suppkey % 3 = 0 AS verified FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'unknown' AS issue, true AS blocking FROM f WHERE l_linenumber > 3 UNION ALL
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'required' AS issue, true AS blocking FROM f WHERE required AND empty UNION ALL
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'terminology', true FROM f WHERE coded AND NOT empty AND NOT exact UNION ALL
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'low confidence', false FROM f WHERE NOT empty AND confidence < 0.7 UNION ALL

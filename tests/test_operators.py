@@ -116,3 +116,14 @@ def test_revisions_of_tables_and_streams_are_the_same(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("revised").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("revised").collect())) == want
+
+
+def test_terms_are_ranked_for_a_query(spark):
+    terms = [("l", "C2", "Female", ["F", "Woman"]), ("l", "C1", "Male", ["M", None]), ("l", "C3", "both", None), ("m", "C9", "Male", [])]
+    frame = spark.createDataFrame(terms, "l string, code string, preferred string, synonyms array<string>")
+    asked = spark.createDataFrame([("l", "woman"), ("l", " c3 "), ("l", None), ("l", ""), ("none", "x"), ("m", "female")], "l string, q string")
+    got = {}
+    for r in review.ranked_terms(asked, "l", "q", frame, "code", "preferred", ["preferred", "synonyms"]).orderBy("place").collect():
+        got.setdefault((r.l, r.q), []).append((r.code, r.score))
+    assert got["l", "woman"][0] == ("C2", 100.0) and got["l", " c3 "][0] == ("C3", 100.0) and [c for c, _ in got["l", None]] == [c for c, _ in got["l", ""]] == ["C3", "C2", "C1"]
+    assert got["m", "female"] == [("C9", 80.0)] and ("none", "x") not in got and all(s == 0 for _, s in got["l", None])
