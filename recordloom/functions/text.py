@@ -3,6 +3,10 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What page numbering and the end of a sentence look like.
+PAGE_LABEL = r"^((document\s+)?page\s*)?#{1,4}(\s*(of|/)\s*#{1,4})?$|^-\s*#{1,4}\s*-$"
+SENTENCE_END = r"[,;]$|\.\s*$"
+
 
 def folded(text: Column) -> Column:
     """Lower case with runs of ASCII white space as one space, trimmed."""
@@ -26,7 +30,7 @@ def repeat_key(text: Column) -> Column:
 
 def is_page_label(key: Column) -> Column:
     """Whether a `repeat_key` is nothing but page numbering: #, page # of #, - # -."""
-    return key.rlike(r"^((document\s+)?page\s*)?#{1,4}(\s*(of|/)\s*#{1,4})?$|^-\s*#{1,4}\s*-$")
+    return key.rlike(PAGE_LABEL)
 
 
 def safe_name(text: Column, fallback: str = "item", most: int = 60) -> Column:
@@ -69,5 +73,5 @@ def plausible_title(text: Column) -> Column:
     """At least two letters a-z, at most 160 characters and 22 words; begins with a digit, or its first letter is upper case; no sentence end."""
     return (
         text.rlike("[A-Za-z][^A-Za-z]*[A-Za-z]") & (F.char_length(text) <= 160) & (F.size(F.split(folded(text), " ")) <= 22)
-        & text.rlike(r"^([0-9]|\P{L}*\p{Lu})") & ~text.rlike(r"[,;]$|\.\s*$")
+        & text.rlike(r"^([0-9]|\P{L}*\p{Lu})") & ~text.rlike(SENTENCE_END)
     )

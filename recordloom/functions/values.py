@@ -7,11 +7,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Names of units by singular, booleans, entities, title synonyms in their order, and stopwords.
+# Names of units with their singular, booleans, entities, title synonyms in their order, stopwords, prefixes of appendices, and shapes of keys.
 UNITS = {
-    "day": ["d", "day", "days"], "week": ["w", "wk", "wks", "week", "weeks"], "hour": ["h", "hr", "hrs", "hour", "hours"],
-    "minute": ["min", "mins", "minute", "minutes"], "second": ["s", "sec", "second", "seconds"], "month": ["mo", "month", "months"],
-    "year": ["y", "yr", "yrs", "year", "years"],
+    "d": "day", "day": "day", "days": "day",
+    "w": "week", "wk": "week", "wks": "week", "week": "week", "weeks": "week",
+    "h": "hour", "hr": "hour", "hrs": "hour", "hour": "hour", "hours": "hour",
+    "min": "minute", "mins": "minute", "minute": "minute", "minutes": "minute",
+    "s": "second", "sec": "second", "second": "second", "seconds": "second",
+    "mo": "month", "month": "month", "months": "month",
+    "y": "year", "yr": "year", "yrs": "year", "year": "year", "years": "year",
 }
 TRUE, FALSE = ["y", "yes", "true", "t"], ["n", "no", "false", "f"]
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
@@ -57,7 +61,7 @@ def normal_text(text: Column) -> Column:
 def normal_value(text: Column) -> Column:
     """Booleans as y and n; else numbers without needless zeros, units in the singular, other words, `..`; punctuation dropped."""
     plain = F.regexp_replace(normal_text(text), " 00:00:00$", "")
-    unit = F.create_map(*(F.lit(x) for one, names in UNITS.items() for n in names for x in (n, one)))
+    unit = F.create_map(*(F.lit(x) for pair in UNITS.items() for x in pair))
 
     def canonical(word: Column) -> Column:
         bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, r"^\+", ""), "^(-?)0+(?=[0-9])", "$1"), r"(\.[0-9]*?)0+$", "$1")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.text import is_page_label, repeat_key
 from ..session import importable
 
-# What marks a contents line, a schedule's heading cell and a filled mark.
+# What marks a contents line, a schedule's heading cell, a filled mark and a caption.
 LEADER = r"(\.{4,}|…{2,}|(\. ){4,})\s*[0-9]{1,4}\s*$"
 CONTENTS = r"(?i)^(table of contents|contents|list of (tables|figures|appendices|attachments|in-text tables))\b"
 VISIT = r"(?i)\b(screening|baseline|days?|weeks?|wk|visit|cycle|months?|follow[- ]?up|end of (treatment|study|trial)|randomi[sz]ation|treatment (period|phase)|eot|eos|unscheduled|early (termination|discontinuation)|run[- ]in|washout|v[0-9]+|d-?[0-9]+|w-?[0-9]+|c[0-9]+)\b"
+CAPTION = r"(?i)^(table|figure|exhibit)\s+[\w.\-]+"
 MARK = r"(?i)^(x|✓|✔|√|•|●|y|yes|\(x\)|x\s?[a-z,0-9]{1,6})$"
 
 
@@ -98,7 +99,7 @@ def schedule_score(cells: Column, page_hint: Column) -> Column:
 
 def captions(tables: DataFrame, lines: DataFrame, on: list[str], table_id: str, top: str, bottom: str, text: str) -> DataFrame:
     """The lowest caption line that ends at most 40 points above each table; lines and tables meet by page only."""
-    named = lines.where(F.col(text).rlike(r"(?i)^(table|figure|exhibit)\s+[\w.\-]+")).select(*on, F.col(bottom).alias("_bottom"), F.col(text).alias("_text"))
+    named = lines.where(F.col(text).rlike(CAPTION)).select(*on, F.col(bottom).alias("_bottom"), F.col(text).alias("_text"))
     near = tables.select(*on, table_id, top).join(named, on).where((F.col("_bottom") <= F.col(top) + 2) & (F.col(top) - F.col("_bottom") <= 40))
     best = near.groupBy(*on, table_id).agg(F.max_by("_text", "_bottom").alias("caption"))
     return tables.join(best, [*on, table_id], "left")

@@ -61,7 +61,7 @@ def row_scores(gold: DataFrame, made: DataFrame, sizes: DataFrame, usable: Colum
     gold and made are cells of `with_keys`; sizes: study, unit, n_gold, n_made. A pair's similarity is the mean over the columns filled
     on both sides, with the name or without, whichever is better: shared keys over all keys, for texts their affinity, taken once for
     each pair of texts. `usable` says which columns but names count. Rows meet within their study, unit and scope; scope columns are
-    compared whole, so that they are join keys. A fifteenth of the score is how near the rows' relative places are.
+    compared whole, so that they are join keys. PLACE of the score is how near the rows' relative places are.
     """
     scope = F.array_sort(F.collect_list(F.when(F.col("scope") & usable, F.struct("header", "keys"))))
 
