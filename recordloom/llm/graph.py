@@ -66,7 +66,6 @@ def _narrowed(rest: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
     """Members that share enough elements with any other, and what every link of two of them fulfils."""
     bounds = saved(shared_elements(sets))
     kept = saved(rest.join(small(bounds, few=FEW // 8), "node").where(f"100 * common >= {percent} * total"))
-    freed(bounds)
     unlike = " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(PARITY))
     enough = f"{100 + percent} * least(x.common, y.common) >= {percent} * (x.total + y.total)"
     return kept, f"{enough} and {100 + percent} * ({unlike}) <= {100 - percent} * (x.total + y.total)"
@@ -78,7 +77,7 @@ LEADERS = 3
 
 def linked(
     buckets: DataFrame, nodes: DataFrame, content_of: Callable[[DataFrame], DataFrame], percent: int,
-    near: str = "true", looked_at: list[str] | None = None, alike: Callable[[DataFrame], DataFrame] | None = None, given: DataFrame | None = None, rounds: int = 2, sets_of: Callable[[DataFrame], DataFrame] | None = None,
+    near: str = "true", looked_at: list[str] | None = None, alike: Callable[[DataFrame], DataFrame] | None = None, given: DataFrame | None = None, rounds: int = 2, sets_of: Callable[[DataFrame], DataFrame] | None = None, crowd: int = 0,
 ) -> DataFrame:
     """Components (node, component) of the links among nodes that share a bucket.
 
@@ -91,8 +90,8 @@ def linked(
     gives twice as many pairs as it has members, and the buckets of a large group have some leaders in common. Only buckets that still hold nodes
     of different components go on: bounds from their whole sets (of sets_of, or the contents) leave out members
     that can have no link, and each meets up to `rounds` times two other leaders, for as long as that finds links. What
-    then still shares a bucket without a common component is paired in full if its bucket has at most CROWD members, which is linear in
-    the members, and else by its rare elements.
+    then still shares a bucket without a common component is paired by its rare elements, whatever its bucket; in buckets of at
+    most `crowd` members all are paired with each other, which is linear in the members.
     """
     keys = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     rest = buckets.join(small(saved(keys)), "key").withColumn("component", F.col("node"))
@@ -142,52 +141,40 @@ def linked(
             sets = saved((sets_of or content_of)(members).toDF("node", "set"))
             rest, also = _narrowed(rest, sets, percent)
             near = f"{near} and {also}"
-    crowded = saved(rest.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"))
-    x, y = (rest.join(small(crowded), "key", "left_anti").alias(side) for side in "xy")
-    pairs = x.join(y, "key").where(f"x.component < y.component and {near}").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    members = saved(rest.join(small(crowded), "key", "left_semi").drop("key").dropDuplicates(["node"]))
-    if not members.isEmpty():
-        pairs = pairs.unionByName(_by_rare_elements(members, sets, percent, near))
+    pairs = None
+    if crowd:
+        crowded = saved(rest.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"))
+        x, y = (rest.join(small(crowded), "key", "left_anti").alias(side) for side in "xy")
+        pairs = x.join(y, "key").where(f"x.component < y.component and {near}").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        rest = saved(rest.join(small(crowded), "key", "left_semi"))
+    if not crowd or not rest.isEmpty():
+        rare = _by_rare_elements(rest.drop("key").dropDuplicates(["node"]), sets, percent, near)
+        pairs = rare if pairs is None else pairs.unionByName(rare)
     more = confirmed(pairs)
-    freed(sets, members)
+    freed(sets)
     return found if more.isEmpty() else merged(more)
 
 
-#: Members of an open bucket up to which all are paired with each other.
-CROWD = 64
-#: Counters of elements by which rare ones are told from common ones: one row of so many numbers, sent to every task.
-COUNTERS = 1 << 16
-
-
 def _by_rare_elements(members: DataFrame, sets: DataFrame, percent: int, near: str) -> DataFrame:
-    """Pairs (a, b) of members (node, component, what `near` looks at) of different components that may be linked, by the rarest elements of their sets.
+    """Pairs (a, b) of members of different components that may be linked, by the rarest elements of their sets.
 
     With the elements of each set in one order, the rarest first, two linked sets share one among the first of the smaller set,
     as many as it may have beyond what a link needs of it, and the first of the larger one. So members of large groups
     that are alike but not linked meet only where they share what few others have, and not through what the group
-    has in common. How common an element is says the counter that it falls on; that orders all elements the same way in
-    all sets, which is all that the rule needs, and tells what a large group shares from the rest.
+    has in common. Elements that only one member has count as its rarest and meet nobody.
     """
-    own = sets.join(small(members.select("node"), few=FEW), "node", "left_semi")
-    parted = saved(own.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))  # rows that share an id
-    joined = own.join(small(parted), "node", "left_semi").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("set"))
-    whole = own.join(small(parted), "node", "left_anti").unionByName(joined)
-    slot = lambda e: F.shiftrightunsigned(e, 20).bitwiseAND(COUNTERS - 1)
-    counted = whole.select(F.explode("set").alias("e")).groupBy(slot(F.col("e")).alias("i")).agg(F.count("*").alias("n"))
-    every = members.sparkSession.range(COUNTERS).select(F.col("id").alias("i")).join(counted, "i", "left").select("i", F.coalesce("n", F.lit(0)).alias("n"))
-    counters = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda x: x["n"]).alias("_n"))
-    ordered = F.array_sort(F.transform("set", lambda e: F.struct(F.get(F.col("_n"), slot(e).cast("int")).alias("n"), e.alias("e"))))
-    listed = whole.crossJoin(F.broadcast(counters)).select("node", ordered.alias("l"))
+    own = saved(members.select("node").join(sets, "node").select("node", F.explode("set").alias("e")))
+    often = own.groupBy("e").agg(F.count("*").alias("n"))
+    listed = own.join(often, "e").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("n", "e"))).alias("l"))
+    size = F.size("l")
     probe = F.expr(f"size(l) - cast(({percent} * size(l) + 99) div 100 as int) + 1")
     index = F.expr(f"size(l) - cast(({2 * percent} * size(l) + {99 + percent}) div {100 + percent} as int) + 1")
-    first = listed.select("node", F.size("l").alias("_size"), index.alias("_index"), F.posexplode(F.slice("l", F.lit(1), probe)).alias("_at", "_e"))
-    first = first.select("node", "_size", (F.col("_at") < F.col("_index")).alias("_few"), F.col("_e.e").alias("_e"))
-    again = saved(first.groupBy("_e").agg(F.count("*").alias("n"), F.max("_few").alias("_any")).where("n > 1 and _any").select("_e"))
-    first = saved(first.join(small(again), "_e").join(small(members, few=FEW // 8), "node"))
+    first = listed.select("node", size.alias("_size"), index.alias("_index"), F.posexplode(F.slice("l", F.lit(1), probe)).alias("_at", "_e")).where("_e.n > 1")
+    first = saved(first.select("node", "_size", (F.col("_at") < F.col("_index")).alias("_few"), F.col("_e.e").alias("_e")).join(small(members, few=FEW // 8), "node"))
     x, y = first.where("_few").alias("x"), first.alias("y")
     smaller = f"(x._size, x.node) < (y._size, y.node) and 100 * x._size >= {percent} * y._size"
     pairs = saved(x.join(y, "_e").where(f"x.component <> y.component and {smaller} and {near}").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
-    freed(parted, again, first)
+    freed(own, first)
     return pairs
 
 

@@ -1,5 +1,6 @@
 """Pairing by rare elements finds every link that pairing in full finds."""
 
+import functools
 import itertools
 import random
 
@@ -35,5 +36,5 @@ def test_crowded_buckets_give_the_same_components(spark, monkeypatch):
         texts.append((i, " ".join(own)))
     df = spark.createDataFrame(texts, "id long, text string")
     want = sorted(map(tuple, near_dedup.near_duplicates(df, "text", "id").collect()))
-    monkeypatch.setattr(graph, "CROWD", 1)
+    monkeypatch.setattr(near_dedup, "linked", functools.partial(graph.linked, crowd=3))
     assert sorted(map(tuple, near_dedup.near_duplicates(df, "text", "id").collect())) == want and len({r[2] for r in want}) < 60
