@@ -23,3 +23,10 @@ def test_numbers_above_99_below_a_chapter(spark, tmp_path):
     docs = pd.DataFrame([(i, line if len(line) % 5 > 1 else f"{line}xy") for i, line in enumerate(lines)], columns=["doc_id", "text"])
     got, want = both(spark, tmp_path, "d8_numbered_candidates", documents=docs)
     assert got == want and "20.118.157.107" in {r[4] for r in got} and len(got) >= 4
+
+
+def test_users_without_a_failed_call(spark, tmp_path):
+    rows = [(1, 8, "a"), (1, 9, "b"), (2, 14, "b"), (2, 21, "a"), (2, 2, "a"), (3, 28, None), (4, 5, None), (6, 35, None), (6, 42, "c"), (6, 49, "a"), (None, 7, "c"), (None, 1, "c"), (5, None, "c")]
+    events = pd.DataFrame(rows, columns=["user_id", "event_id", "event_type"]).astype({"user_id": "Int64", "event_id": "Int64"})
+    got, want = both(spark, tmp_path, "o2_extraction_summary", events=events)
+    assert got == want and (1, 2, 1, None) in got
