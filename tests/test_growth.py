@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from recordloom.operators import linking
+from recordloom import session
+from recordloom.operators import linking, matching
+from recordloom.plans import QUERIES
 
 
 def test_a_text_of_many_rows_is_met_by_two_of_them(spark, monkeypatch):
@@ -18,3 +20,22 @@ def test_a_text_of_many_rows_is_met_by_two_of_them(spark, monkeypatch):
     got = linking.linked(references, ["k"], "study", "kinds", "phrase", "extracted", "confidence", entities)
     assert {(r.state, r.score) for r in got.collect()} == {("unclear", 100.0)}
     assert seen[0].groupBy("study", "kind", "text").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_rows_repeat_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(session, "REPEATS", 4)
+    df = spark.createDataFrame([(n,) for n in (0, 1, 3, 4, 5, 8, 30)], "x long").withColumn("n", F.col("x"))
+    got = session.repeated(df, "n")
+    assert {r.x: r["count"] for r in got.groupBy("x").count().collect()} == {1: 1, 3: 3, 4: 4, 5: 5, 8: 8, 30: 30} and got.columns == ["x"]
+
+
+def test_texts_of_parts_are_scored_once(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    parts = [(rng.choice("AB"), rng.choice([1, 2, None]), rng.choice(["large ring", "ring large", "small bolt", "blue nut", None])) for _ in range(150)]
+    spark.createDataFrame(parts, "p_brand string, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    want = sorted((a, b) for x, m, a in parts for y, n, b in parts if m is not None and (x, m) == (y, n) and a and b and a < b)
+    seen, scores = [], matching.text_scores
+    monkeypatch.setattr(matching, "text_scores", lambda pairs, *on: seen.append(pairs.count()) or scores(pairs, *on))
+    got = QUERIES["e2_text_scores"](spark, str(tmp_path))
+    assert sorted((r.a, r.b) for r in got.collect()) == want and seen == [len(set(want))]
+    assert got.columns == ["a", "b", "similarity", "affinity"] and len(want) > 500
