@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from recordloom import session
-from recordloom.operators import linking, matching
+from recordloom.functions import fuzzy
+from recordloom.operators import linking, matching, review
 from recordloom.plans import QUERIES
 
 
@@ -39,3 +40,37 @@ def test_texts_of_parts_are_scored_once(spark, tmp_path, monkeypatch):
     got = QUERIES["e2_text_scores"](spark, str(tmp_path))
     assert sorted((r.a, r.b) for r in got.collect()) == want and seen == [len(set(want))]
     assert got.columns == ["a", "b", "similarity", "affinity"] and len(want) > 500
+
+
+def test_terms_are_ranked_by_kinds(spark, monkeypatch):
+    rng = random.Random(21)
+    terms = [(rng.choice("LM"), i // 2 if i % 9 == 0 else i, rng.choice(["Ring", "ring", "Bolt", None]), rng.choice([["large"], ["small", "x"], [], None, ["12"]])) for i in range(240)]
+    frame = spark.createDataFrame(terms, "l string, code long, preferred string, synonyms array<string>")
+    asked = spark.createDataFrame([(x, q) for x in "LMN" for q in ("large ring", "12", "", None, "bolt", "100", "  RING ")], "l string, q string")
+    monkeypatch.setattr(review, "PIECE", 7)
+    seen, ratios = [], review.ratio
+    monkeypatch.setattr(review, "ratio", lambda a, b: seen.append(1) or ratios(a, b))
+    got = review.ranked_terms(asked, "l", "q", frame, "code", "preferred", ["preferred", "synonyms"]).collect()
+    fold = lambda t: " ".join((t or "").lower().split())
+    score = lambda q, t: round(max(fuzzy.plain_token_set(q, t), fuzzy.plain_ratio(q, t)), 1)
+    for x in "LM":
+        known = {}
+        for own, code, preferred, synonyms in terms:
+            if own == x:
+                known.setdefault((code, preferred), []).extend(fold(t) for t in (preferred, *(synonyms or [])) if fold(t))
+        for q in ("large ring", "12", "", None, "bolt", "100", "  RING "):
+            each = [(100.0 if fold(q) and fold(q) == str(c) else max((score(fold(q), t) for t in ts if fold(q)), default=0.0), (p or "").lower(), c) for (c, p), ts in known.items()]
+            want = sorted(each, key=lambda e: (-e[0], *e[1:]))
+            rows = sorted((r for r in got if r.l == x and r.q == q), key=lambda r: r.place)
+            assert [r.place for r in rows] == list(range(1, len(want) + 1))
+            assert [(r.score, (r.preferred or "").lower(), r.code) for r in rows] == want
+    assert {r.l for r in got} == {"L", "M"}
+
+
+def test_ranking_sorts_no_row_of_the_result(spark):
+    terms = spark.range(3000).select(F.lit("L").alias("l"), F.col("id").alias("code"), F.lit("Ring").alias("preferred"))
+    asked = spark.createDataFrame([("L", f"ring {c}") for c in "abcdefghij"], "l string, q string")
+    got = review.ranked_terms(asked, "l", "q", terms, "code", "preferred", ["preferred"])
+    assert got.count() == 30000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" in plan and "Window [row_number() windowspecdefinition(_set" in plan and "windowspecdefinition(l" not in plan
