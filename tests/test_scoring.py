@@ -123,3 +123,20 @@ def test_best_pairs_and_scores_of_random_units_equal_plain_python(spark):
         if score >= 0.45:
             want[i, j] = score
     assert got == pytest.approx(want) and Counter(i for i, _ in got)
+
+
+def test_many_units_are_aligned_as_each_alone(monkeypatch):
+    rng = random.Random(6)
+    units = []
+    for u in range(400):
+        n, m = rng.choice([(1, 1), (3, 4), (7, 7), (2, 9), (40, 45)]) if u % 11 else (0, 0)
+        cells = [(i * rng.choice([1, 3]), j, rng.choice([9, 10, 12, 15, 20]) / 20) for i in range(n) for j in range(m) if rng.random() < 0.5]
+        rng.shuffle(cells)
+        units.append(list({c[:2]: c for c in cells}.values()))
+    first = np.cumsum([0, *map(len, units)])
+    i, j, score = (np.array([c[k] for u in units for c in u]) for k in range(3))
+    monkeypatch.setattr(scoring, "CELLS", 1 << 14)
+    got = scoring.non_crossing_units(first, i, j, score)
+    for u, (a, b) in enumerate(itertools.pairwise(first)):
+        assert list(np.flatnonzero(got[a:b])) == scoring.non_crossing(i[a:b], j[a:b], score[a:b]), (u, units[u])
+    assert len(scoring.non_crossing_units(np.array([0]), i[:0], j[:0], score[:0])) == 0
