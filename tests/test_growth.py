@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recordloom import session
 from recordloom.functions import fuzzy
-from recordloom.operators import linking, matching, review
+from recordloom.operators import linking, matching, review, scoring
 from recordloom.plans import QUERIES
 
 
@@ -74,3 +74,18 @@ def test_ranking_sorts_no_row_of_the_result(spark):
     assert got.count() == 30000
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" in plan and "Window [row_number() windowspecdefinition(_set" in plan and "windowspecdefinition(l" not in plan
+
+
+def test_tallies_write_texts_only(spark, monkeypatch):
+    layout = spark.createDataFrame([("u", "t", "text", False, None, [], False), ("u", "c", "code", True, None, [], False), ("u", "r", "reference", False, "k", [], False), ("u", "v", "value", False, None, [], False)],
+                                   "unit string, header string, tier string, multi boolean, kind string, literals array<string>, scope boolean")
+    cells = lambda *rows: spark.createDataFrame([("s", "u", *r) for r in rows], "study string, unit string, pos long, header string, value string")
+    gold = cells((0, "t", "Big ring"), (0, "c", "A, b,a"), (0, "r", "One"), (0, "v", "2 days"), (1, "t", "x"), (1, "c", " , "))
+    made = cells((0, "t", "big  ring"), (0, "c", "b, d"), (0, "r", "uno"), (0, "v", "2.0 d"), (2, "c", "q"))
+    names = spark.createDataFrame([("s", "k", "uno", "one")], "study string, kind string, made string, gold string")
+    pairs = spark.createDataFrame([("s", "u", 0, 0)], "study string, unit string, i long, j long")
+    kept = []
+    monkeypatch.setattr(scoring, "saved", lambda df: kept.append(df.columns) or session.saved(df))
+    got = {r.header: (r.gold, r.generated, r.matched, r.slots) for r in scoring.tallies(gold, made, pairs, names, layout).collect()}
+    assert got == {"t": (2, 1, 1, 2), "c": (2, 3, 1, 4), "r": (1, 1, 1, 1), "v": (1, 1, 1, 1)}
+    assert kept and not any({"_g", "_m"} & set(x) for x in kept)
